@@ -1,13 +1,26 @@
-"""Every registered query of the core, by name, with the SQL that gives the same rows where there is one."""
+"""Every registered query of the core, by name, with the SQL that gives the same rows where there is one.
+
+All run over whole tables. Search queries of the embeddings are the rows whose id is divisible by 50.
+"""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanternspark.operators import rejects
+from lanternspark.functions import constants as C
+from lanternspark.functions import similarity as sim
+from lanternspark.functions import text as tx
+from lanternspark.operators import chunking, dense, evaluation, fusion, grounding, rejects
+from lanternspark.operators.embedders import HashingEmbedder, embed
+from lanternspark.operators.sparse import Bm25, store, top_k
+from lanternspark.plans.retriever import Retriever, sentinel_row
+from lanternspark.service.json_api import answer_json
 from lanternspark.session import ship, table
+from lanternspark.streaming.jobs import hit_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +36,509 @@ def query(sql: str | None = None):
     return add
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# SQL text of the functions that queries share
+
+
+def _lower(x: str) -> str:
+    return f"translate(coalesce({x}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def _tokens(x: str) -> str:
+    stem = "CASE WHEN strlen(t) > 4 AND suffix(t, 's') AND NOT suffix(t, 'ss') THEN left(t, length(t) - 1) ELSE t END"
+    return rf"list_transform(regexp_extract_all({_lower(x)}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda t: {stem})"
+
+
+def _content(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+    return f"list_filter({_tokens(x)}, lambda t: NOT (t IN ({stop}) OR strlen(t) <= 1))"
+
+
+_WS = r"[ \t\n\r\f\x0b]+"
+
+
+def _tidy(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '{_WS}', ' ', 'g'), ' ')"
+
+
+_STORE = "(SELECT id, any_value(source) AS source, any_value(text) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id)"
+
+
+def _jaccard(a: str, b: str) -> str:
+    either = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"CASE WHEN {either} = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / {either}::DOUBLE END"
+
+
+# tokens and text
+
+
+@query(f"""
+    SELECT id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, len(c)::BIGINT AS n_content
+    FROM (SELECT id, {_tokens('text')} AS t, {_content('text')} AS c FROM {_STORE})""")
+def token_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = store(table(spark, d, "chunks")).select("id", tx.tokens(F.col("text")).alias("t"), tx.content_tokens(F.col("text")).alias("c"))
+    return rows.select("id", *(F.size(x).cast("bigint").alias(n) for x, n in ((F.col("t"), "n_tokens"), (F.array_distinct("t"), "n_distinct"), (F.col("c"), "n_content"))))
+
+
+@query(f"SELECT DISTINCT {_tidy(_lower('query'))} AS query FROM train_pairs WHERE query IS NOT NULL")
+def normalized_train_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "train_pairs").where("query is not null").select(tx.normalize_query(F.col("query")).alias("query")).distinct()
+
+
+@query(f"""
+    SELECT DISTINCT doc_id, {_tidy('text')} AS clean, coalesce({_tidy('text')} = '', true) AS is_blank,
+           coalesce({_tidy(_lower('text'))} IN ('i don''t know', 'i do not know'), false) AS is_refusal FROM documents""")
+def clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", tx.sanitize(t).alias("clean"), tx.is_blank(t).alias("is_blank"), tx.is_dont_know(t).alias("is_refusal"))
+
+
+_NGRAMS = """list_distinct(flatten(list_transform({c}, lambda t: list_concat(
+    list_transform(range(1, greatest(length(t) + 1, 1)), lambda i: ('^' || t || '$')[i:i + 2]),
+    list_transform(range(1, greatest(length(t), 1)), lambda i: ('^' || t || '$')[i:i + 3])))))"""
+
+
+@query(f"SELECT qid, len({_NGRAMS.format(c=_content('query'))})::BIGINT AS n_ngrams FROM labeled")
+def query_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labeled").select("qid", F.size(tx.content_ngrams(F.col("query"))).cast("bigint").alias("n_ngrams"))
+
+
+@query(rf"""
+    SELECT id, list_transform(regexp_extract_all(s, '\[#?{_WS[:-1]}*(-?[0-9]+){_WS[:-1]}*\]', 1), lambda x: x::BIGINT) AS raw_ids,
+           len(list_distinct(regexp_extract_all(s, '\[#?{_WS[:-1]}*(-?[0-9]+){_WS[:-1]}*\]', 1)))::BIGINT AS n_ids
+    FROM (SELECT id, coalesce(text, '') || ' [#' || id || '] [ ' || id || ' ] [#7]' AS s FROM {_STORE})""")
+def citation_ids(spark: SparkSession, d: str) -> DataFrame:
+    s = F.concat(F.coalesce("text", F.lit("")), F.lit(" [#"), F.col("id").cast("string"), F.lit("] [ "), F.col("id").cast("string"), F.lit(" ] [#7]"))
+    raw = F.transform(F.regexp_extract_all(s, F.lit(tx.CITATION), F.lit(1)), lambda x: x.cast("bigint"))
+    return store(table(spark, d, "chunks")).select("id", raw.alias("raw_ids"), F.size(tx.citation_ids(s)).cast("bigint").alias("n_ids"))
+
+
+_MASKED = r"regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g')"
+
+
+@query(rf"""
+    SELECT doc_id, p.pos::BIGINT AS pos, p.piece FROM (
+        SELECT doc_id, unnest(list_transform(list_zip(range(1, len(s) + 1), s), lambda x: {{'pos': x[1] - 1, 'piece': x[2]}})) AS p FROM (
+            SELECT doc_id, list_filter(list_transform(regexp_extract_all({_MASKED}, '(?s)[^.!?]*[.!?]["'')\]]*|[^.!?]+$'),
+                lambda u: {_tidy("replace(u, chr(57344), '.')")}), lambda u: u <> '') AS s FROM documents))""")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(rf"""
+    SELECT doc_id, p.pos::BIGINT AS pos, p.piece FROM (
+        SELECT doc_id, unnest(list_transform(list_zip(range(1, len(s) + 1), s), lambda x: {{'pos': x[1] - 1, 'piece': x[2]}})) AS p FROM (
+            SELECT doc_id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(13), ''), '\n{{2,}}'),
+                lambda u: {_tidy('u')}), lambda u: u <> '') AS s FROM documents))""")
+def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(tx.split_paragraphs(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query()
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(tx.markdown_sections(F.col("text"))).alias("pos", "s"))
+    return rows.select("doc_id", "pos", "s.heading", "s.body")
+
+
+@query()
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document by the configuration of its source."""
+    return chunking.chunk_rows(table(spark, d, "documents"), table(spark, d, "chunker_config"), "doc_id", "text", "source")
+
+
+def _strategy(name: str):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return chunking.chunk_rows(table(spark, d, "documents"), chunking.ChunkerConfig(name), "doc_id", "text", "source")
+
+    f.__name__ = f"{name}_chunks"
+    return query()(f)
+
+
+for _name in ("window", "sentence", "paragraph", "markdown"):
+    _strategy(_name)
+
+
+@query()
+def numbered_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' chunks as one store, numbered on by path and position."""
+    rows = table(spark, d, "documents").withColumn("path", F.concat_ws("/", "rel_path", F.lpad(F.col("doc_id").cast("string"), 20, "0")))
+    return chunking.number(chunking.chunk_rows(rows, chunking.ChunkerConfig(), "path", "text", "source")).select("id", "source", "text")
+
+
+# the chunk store
+
+
+@query("""
+    SELECT coalesce(max(id) FILTER (id >= 0), -1) + 1 AS next_id, count(DISTINCT id) AS n_chunks,
+           count(DISTINCT id) FILTER (id <> -1) AS n_real, max((id = -1)::BIGINT) AS has_no_evidence FROM chunks""")
+def store_counts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    rows = store(table(spark, d, "chunks"))
+    return rows.agg((F.coalesce(F.max(F.when(i >= 0, i)), F.lit(-1)) + 1).alias("next_id"), F.count("*").alias("n_chunks"), F.count_if(i != -1).alias("n_real"), F.max((i == -1).cast("bigint")).alias("has_no_evidence"))
+
+
+@query(f"""
+    SELECT id, count(*) AS n_rows, min((coalesce(id = -1 AND source = 'system' AND text = '{C.NO_EVIDENCE_TEXT}', false))::BIGINT) AS is_sentinel
+    FROM chunks GROUP BY id HAVING count(*) > 1 OR id < 0""")
+def store_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that a strict load refuses, being there twice, and reserved ones with whether they are genuine."""
+    own = tx.is_sentinel_row(F.col("id"), F.col("source"), F.col("text"))
+    return table(spark, d, "chunks").groupBy("id").agg(F.count("*").alias("n_rows"), F.min(own.cast("bigint")).alias("is_sentinel")).where("n_rows > 1 or id < 0")
+
+
+# BM25
+
+_BM25 = f"""
+    d AS (SELECT id, {_tokens('text')} AS t FROM {_STORE} WHERE id <> -1),
+    stats AS (SELECT count(*) AS n, coalesce(avg(len(t)), 0) AS avgdl FROM d),
+    p AS (SELECT id, term, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM labeled) GROUP BY ALL),
+    s AS (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)) * qtf) AS score
+          FROM q JOIN p USING (term) JOIN df USING (term) CROSS JOIN stats GROUP BY ALL)"""
+
+
+def _top(k: int, source: str = "s") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS hit_rank FROM {source} QUALIFY hit_rank <= {k})"
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("hit_rank").cast("bigint").alias("hit_rank"))
+
+
+def _bm25(spark: SparkSession, d: str) -> tuple[Bm25, DataFrame]:
+    return Bm25.build(table(spark, d, "chunks")), table(spark, d, "labeled")
+
+
+@query(f"WITH {_BM25} SELECT term, df FROM df")
+def term_df(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d)[0].df()
+
+
+@query(f"WITH {_BM25} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d)[0].stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {_BM25} SELECT qid, id, round(score, 6) AS score, hit_rank FROM {_top(5)}")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    index, asked = _bm25(spark, d)
+    return _rounded(index.search(asked, 5))
+
+
+@query(f"WITH {_BM25} SELECT qid, round(coalesce(max(score), 0), 6) AS max_score FROM (SELECT DISTINCT qid FROM labeled) LEFT JOIN s USING (qid) GROUP BY qid")
+def bm25_max_signal(spark: SparkSession, d: str) -> DataFrame:
+    index, asked = _bm25(spark, d)
+    return index.max_score(asked).select("qid", F.round("max_score", 6).alias("max_score"))
+
+
+@query(f"WITH {_BM25} SELECT l.qid, l.gold_id AS id, round(coalesce(s.score, 0), 6) AS score FROM labeled l LEFT JOIN s ON s.qid = l.qid AND s.id = l.gold_id")
+def bm25_gold_score(spark: SparkSession, d: str) -> DataFrame:
+    index, asked = _bm25(spark, d)
+    return index.score_ids(asked.select("qid", F.col("gold_id").alias("id")), asked).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+# dense retrieval
+
+
+@query(f"""
+    WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
+               FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0)
+    SELECT qid, id, round(score, 6) AS score, hit_rank FROM {_top(10)}""")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return _rounded(dense.search(rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), rows, 10))
+
+
+@query(f"""
+    WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, q.label AS own, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
+               FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+         r AS (SELECT qid, own, min(hit_rank) FILTER (label = own) AS gold_rank FROM {_top(5)} GROUP BY ALL)
+    SELECT own AS label, count(*) AS n, round(avg(coalesce((gold_rank <= 1)::DOUBLE, 0)), 6) AS recall_1, round(avg(coalesce((gold_rank <= 3)::DOUBLE, 0)), 6) AS recall_3,
+           round(avg(coalesce((gold_rank <= 5)::DOUBLE, 0)), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / gold_rank, 0)), 6) AS mrr FROM r GROUP BY own""")
+def label_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    vec = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    hits = dense.search(vec.where("id % 50 = 0").withColumnRenamed("id", "qid"), vec, 6).where("id != qid")
+    hits = top_k(hits, 5).join(rows.select(F.col("vec_id").alias("id"), F.col("label").alias("hit_label")), "id")
+    own = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
+    ranks = own.join(hits, "qid", "left").groupBy("qid", "label").agg(F.min(F.when(F.col("label") == F.col("hit_label"), F.col("hit_rank"))).alias("gold_rank"))
+    m = evaluation.retrieval_metrics(ranks, "label")
+    return m.select("label", "n", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")))
+
+
+@query()
+def hashing_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return embed(store(table(spark, d, "chunks")), HashingEmbedder(128), "id", "text")
+
+
+@query()
+def hashing_topk(spark: SparkSession, d: str) -> DataFrame:
+    own = Retriever.build(spark, table(spark, d, "chunks"), HashingEmbedder(128), mode="dense")
+    return _rounded(own.search_dense(table(spark, d, "labeled"), 5))
+
+
+# fusion of the logged rankings
+
+
+def _ranking(mode: str) -> str:
+    return f"(SELECT qid, id, min(hit_rank) AS r, max(coalesce(score, 0)) AS score FROM hits WHERE retrieve_mode = '{mode}' GROUP BY qid, id)"
+
+
+_LISTS = f"d AS {_ranking('dense')}, b AS {_ranking('sparse')}, j AS (SELECT qid, id, d.score AS d, b.score AS s FROM d FULL JOIN b USING (qid, id))"
+
+
+def _ranked(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    rows = table(spark, d, "hits").where(F.col("retrieve_mode") == mode).groupBy("qid", "id")
+    return rows.agg(F.min("hit_rank").alias("hit_rank"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+@query(f"""
+    WITH {_LISTS}, s AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT qid, id, r FROM d UNION ALL SELECT qid, id, r FROM b) GROUP BY qid, id)
+    SELECT qid, id, round(score, 6) AS score, hit_rank FROM {_top(5)}""")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fusion.rrf(_ranked(spark, d, "dense"), _ranked(spark, d, "sparse"), 5))
+
+
+_SCALE = "CASE WHEN max({x}) OVER (PARTITION BY qid) - min({x}) OVER (PARTITION BY qid) <= 1e-12 THEN 0 ELSE ({x} - min({x}) OVER (PARTITION BY qid)) / (max({x}) OVER (PARTITION BY qid) - min({x}) OVER (PARTITION BY qid)) END"
+
+
+@query(f"""
+    WITH {_LISTS}, c AS (SELECT qid, id, coalesce(d, 0) AS d, coalesce(s, 0) AS b FROM j),
+         s AS (SELECT qid, id, 0.55::DOUBLE * ({_SCALE.format(x='d')}) + 0.45::DOUBLE * ({_SCALE.format(x='b')}) AS score FROM c)
+    SELECT qid, id, round(score, 6) AS score, hit_rank FROM {_top(5)}""")
+def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fusion.weighted(_ranked(spark, d, "dense"), _ranked(spark, d, "sparse"), 5))
+
+
+_PRIMARY = """
+    t AS (SELECT qid, id, d, coalesce(s, 0) AS b, coalesce(max(d) OVER (PARTITION BY qid), 0) AS top FROM j),
+    s AS (SELECT qid, id, CASE WHEN d IS NOT NULL THEN d + CASE WHEN b >= 2.5 AND id <> -1 THEN 0.08::DOUBLE * b ELSE 0 END
+                               ELSE greatest(0.85::DOUBLE * top, 0.08::DOUBLE * b) END AS score FROM t WHERE d IS NOT NULL OR b >= 2.5)"""
+
+
+@query(f"WITH {_LISTS}, {_PRIMARY} SELECT qid, id, round(score, 6) AS score, hit_rank FROM {_top(5)}")
+def dense_primary_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fusion.dense_primary(_ranked(spark, d, "dense"), _ranked(spark, d, "sparse"), 5))
+
+
+@query(f"""
+    WITH {_LISTS}, {_PRIMARY}, w AS (SELECT qid FROM b GROUP BY qid HAVING max(score) >= 2.5),
+         f AS (SELECT qid, id, score FROM s WHERE qid IN (SELECT qid FROM w) UNION ALL SELECT qid, id, score FROM d WHERE qid NOT IN (SELECT qid FROM w))
+    SELECT qid, id, round(score, 6) AS score, hit_rank FROM {_top(5, 'f')}""")
+def adaptive_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid with its fallback to dense where the best sparse score is weak."""
+    sparse = _ranked(spark, d, "sparse")
+    return _rounded(fusion.fuse(_ranked(spark, d, "dense"), sparse, sparse.groupBy("qid").agg(F.max("score").alias("max_score")), 5))
+
+
+@query()
+def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    own = Retriever.build(spark, table(spark, d, "chunks"), HashingEmbedder(128))
+    return own.retrieve(table(spark, d, "labeled"), 5).select("qid", "id", F.round("score", 6).alias("score"), "hit_rank", "score_is_cosine", "source")
+
+
+# grounding over the logged hits
+
+_HITS = "(SELECT DISTINCT qid, retrieve_mode, hit_rank, id, score, score_is_cosine FROM hits)"
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "hits").select("qid", "retrieve_mode", "hit_rank", "id", "score", "score_is_cosine").distinct()
+    return grounding.with_text(rows, store(table(spark, d, "chunks")))
+
+
+@query(f"""
+    SELECT h.qid, h.retrieve_mode, h.hit_rank, h.id, CASE WHEN c.id IS NULL THEN '?' ELSE c.source END AS source,
+           CASE WHEN c.id IS NULL THEN '{C.MISSING_TEXT}' ELSE c.text END AS text FROM {_HITS} h LEFT JOIN {_STORE} c USING (id)""")
+def hit_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("qid", "retrieve_mode", "hit_rank", "id", "source", "text")
+
+
+_GATE = f"""
+    g AS (SELECT h.qid, h.retrieve_mode, h.hit_rank, h.id, coalesce(h.score, 0) AS score, coalesce(h.score_is_cosine, false) AS cos, q.query,
+                 coalesce({_tidy('q.query')} = '', true) AS blank, CASE WHEN c.id IS NULL THEN '{C.MISSING_TEXT}' ELSE c.text END AS text,
+                 {_content('q.query')} AS qt, {_content(f"CASE WHEN c.id IS NULL THEN '{C.MISSING_TEXT}' ELSE c.text END")} AS pt
+          FROM {_HITS} h JOIN labeled q USING (qid) LEFT JOIN {_STORE} c ON c.id = h.id),
+    a AS (SELECT *, CASE WHEN blank THEN false WHEN id = -1 THEN false WHEN cos AND score < 0.25 THEN false
+                         WHEN len(list_filter(qt, lambda t: strlen(t) >= 5 AND NOT list_contains(pt, t))) > 0 THEN cos AND score >= 0.6
+                         WHEN len(list_filter(qt, lambda t: list_contains(pt, t))) >= 1 AND len(list_filter(qt, lambda t: list_contains(pt, t))) / len(qt)::DOUBLE >= 0.2 THEN true
+                         ELSE cos AND score >= 0.6 END AS ok FROM g)"""
+
+
+@query(f"WITH {_GATE} SELECT qid, retrieve_mode, hit_rank, id, ok AS is_answerable FROM a")
+def answerability_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = grounding.gated(_hits(spark, d), table(spark, d, "labeled"))
+    return rows.select("qid", "retrieve_mode", "hit_rank", "id", "is_answerable")
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = grounding.gated(_hits(spark, d).where("retrieve_mode = 'hybrid'"), table(spark, d, "labeled"))
+    return grounding.answers(grounding.collect(rows, table(spark, d, "labeled")))
+
+
+@query(f"""
+    WITH {_GATE}, u AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hit_rank, id) AS n FROM a WHERE ok AND retrieve_mode = 'hybrid' QUALIFY n <= 3),
+         x AS (SELECT qid, string_agg(' ' || {_tidy("coalesce(text, '')")} || CASE WHEN {_tidy("coalesce(text, '')")} <> '' AND NOT suffix({_tidy("coalesce(text, '')")}, '.') THEN '.' ELSE '' END
+                      || ' [#' || id || ']', '' ORDER BY n) AS body FROM u GROUP BY qid)
+    SELECT l.qid, x.qid IS NULL AS refused, CASE WHEN x.qid IS NULL THEN 'refuse' ELSE 'extractive' END AS mode,
+           CASE WHEN x.qid IS NULL THEN 'I don''t know' ELSE '{C.EXTRACTIVE_PREFIX}' || x.body END AS answer FROM labeled l LEFT JOIN x USING (qid)""")
+def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("qid", "refused", "mode", "answer")
+
+
+@query()
+def validated_answers(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("qid", "check.*")
+
+
+@query()
+def validated_model_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in model texts, half of which cite what isn't in the context, through the validator's fallback."""
+    rows = grounding.gated(_hits(spark, d).where("retrieve_mode = 'dense'"), table(spark, d, "labeled"))
+    rows = grounding.collect(rows, table(spark, d, "labeled"))
+    first = F.try_element_at("used", F.lit(1))
+    said = F.concat(F.coalesce(first["text"], F.lit("")), F.lit(" [#"), (first["id"] + F.col("qid") % 2).cast("string"), F.lit("]"))
+    return grounding.finalize(rows.withColumn("model_text", said)).select("qid", "refused", "mode", "answer", F.col("check.ok").alias("ok"), F.col("check.reason").alias("reason"))
+
+
+@query()
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("qid", grounding.grounded_prompt(F.col("query"), F.col("used")).alias("prompt"), grounding.rag_prompt(F.col("query"), F.col("candidates")).alias("rag_prompt"))
+
+
+@query()
+def ask_json(spark: SparkSession, d: str) -> DataFrame:
+    return answer_json(_answers(spark, d))
+
+
+@query()
+def ask_grounded(spark: SparkSession, d: str) -> DataFrame:
+    """From questions to validated answers, refusal questions included, by hybrid retrieval."""
+    own = Retriever.build(spark, table(spark, d, "chunks").unionByName(sentinel_row(spark), allowMissingColumns=True), HashingEmbedder(128))
+    asked = table(spark, d, "labeled").select("qid", "query").unionByName(table(spark, d, "refuse"))
+    return own.ask(asked).select("qid", "refused", "mode", "answer", F.col("check.ok").alias("ok"))
+
+
+@query()
+def incremental_add(spark: SparkSession, d: str) -> DataFrame:
+    """The sound uploads appended to the store under new ids."""
+    batch = rejects.loaded(table(spark, d, "raw_records"), "chunks").where((F.col("id") >= 0) & ~tx.is_blank(F.col("text")))
+    return Retriever.build(spark, table(spark, d, "chunks"), HashingEmbedder(64)).add(batch)[1]
+
+
+# similarity of questions and passages
+
+_PAIR = f"(SELECT l.qid, {_tokens('l.query')} AS qt, {_tokens('c.text')} AS pt, {_content('l.query')} AS qc, {_content('c.text')} AS pc FROM labeled l JOIN {_STORE} c ON c.id = l.gold_id)"
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labeled").join(store(table(spark, d, "chunks")).select(F.col("id").alias("gold_id"), "text"), "gold_id")
+
+
+@query(f"""
+    SELECT qid, round({_jaccard('qt', 'pt')}, 6) AS token_jaccard, round({_jaccard('qc', 'pc')}, 6) AS content_jaccard,
+           len(list_intersect(qc, pc))::BIGINT AS n_shared,
+           round(CASE WHEN len(qc) = 0 THEN 0 ELSE len(list_filter(qc, lambda t: list_contains(pc, t))) / len(qc)::DOUBLE END, 6) AS support FROM {_PAIR}""")
+def gold_similarity(spark: SparkSession, d: str) -> DataFrame:
+    q, t = F.col("query"), F.col("text")
+    return _gold(spark, d).select(
+        "qid",
+        F.round(sim.token_jaccard(q, t), 6).alias("token_jaccard"),
+        F.round(sim.content_token_jaccard(q, t), 6).alias("content_jaccard"),
+        F.size(sim.keyword_overlap(q, t)).cast("bigint").alias("n_shared"),
+        F.round(sim.query_support(q, t), 6).alias("support"),
+    )
+
+
+@query(f"""
+    SELECT qid, round(CASE WHEN len(qg) = 0 THEN 0 ELSE len(list_intersect(qg, pg)) / len(qg)::DOUBLE END, 6) AS coverage
+    FROM (SELECT qid, {_NGRAMS.format(c='qc')} AS qg, {_NGRAMS.format(c='pc')} AS pg FROM {_PAIR})""")
+def gold_ngram_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _gold(spark, d).select("qid", F.round(sim.ngram_coverage(F.col("query"), F.col("text")), 6).alias("coverage"))
+
+
+@query()
+def gold_sequence_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _gold(spark, d).select("qid", F.round(sim.sequence_similarity(F.col("query"), F.col("text")), 6).alias("similarity"))
+
+
+@query()
+def token_hashes(spark: SparkSession, d: str) -> DataFrame:
+    from lanternspark.functions.hashing import NGRAM_SALT, hash_column, mix_column
+
+    words = table(spark, d, "labeled").select(F.explode(tx.tokens(F.col("query"))).alias("token")).distinct()
+    return words.select("token", hash_column(F.col("token")).alias("hash"), mix_column(F.col("token"), NGRAM_SALT, 4096).alias("bucket"))
+
+
+# evaluation
+
+_REAL = "(SELECT *, row_number() OVER (PARTITION BY qid, retrieve_mode ORDER BY hit_rank, id) AS r FROM (SELECT DISTINCT qid, retrieve_mode, hit_rank, id FROM hits WHERE id <> -1) QUALIFY r <= 5)"
+
+
+@query(f"""
+    WITH g AS (SELECT l.qid, m.retrieve_mode, min(h.r) AS r FROM labeled l CROSS JOIN (SELECT DISTINCT retrieve_mode FROM hits) m
+               LEFT JOIN {_REAL} h ON h.qid = l.qid AND h.retrieve_mode = m.retrieve_mode AND h.id = l.gold_id GROUP BY ALL)
+    SELECT retrieve_mode, count(*) AS n, round(avg(coalesce((r <= 1)::DOUBLE, 0)), 6) AS recall_1, round(avg(coalesce((r <= 3)::DOUBLE, 0)), 6) AS recall_3,
+           round(avg(coalesce((r <= 5)::DOUBLE, 0)), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM g GROUP BY retrieve_mode""")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    labeled, hits = table(spark, d, "labeled"), table(spark, d, "hits").select("qid", "retrieve_mode", "hit_rank", "id").distinct()
+    parts = [evaluation.gold_ranks(labeled, hits.where(F.col("retrieve_mode") == m)).withColumn("retrieve_mode", F.lit(m)) for m in fusion.MODES]
+    m = evaluation.retrieval_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), "retrieve_mode")
+    return m.select("retrieve_mode", "n", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")))
+
+
+@query(f"SELECT l.qid, coalesce(h.id, -1) AS id FROM labeled l LEFT JOIN {_REAL} h ON h.qid = l.qid AND h.retrieve_mode = 'hybrid' AND h.r = 1")
+def top_real_id(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits").where("retrieve_mode = 'hybrid'").select("qid", "hit_rank", "id").distinct()
+    first = evaluation.ranked_real(hits, 1).select("qid", "id")
+    return table(spark, d, "labeled").select("qid").join(first, "qid", "left").select("qid", F.coalesce("id", F.lit(-1).cast("bigint")).alias("id"))
+
+
+@query(f"SELECT qid FROM labeled WHERE {_tidy(_lower('query'))} IN (SELECT {_tidy(_lower('query'))} FROM train_pairs WHERE query IS NOT NULL) AND {_tidy(_lower('query'))} <> '' AND query IS NOT NULL")
+def eval_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.overlapping(table(spark, d, "labeled"), table(spark, d, "train_pairs")).select("qid")
+
+
+@query(f"SELECT qid, len(list_intersect(qc, pc))::BIGINT AS n_shared FROM {_PAIR} WHERE len(list_intersect(qc, pc)) > 0")
+def gold_overlap(spark: SparkSession, d: str) -> DataFrame:
+    rows = evaluation.gold_overlap(table(spark, d, "labeled"), store(table(spark, d, "chunks")))
+    return rows.select("qid", F.size("shared").cast("bigint").alias("n_shared"))
+
+
+@query()
+def hard_leaks(spark: SparkSession, d: str) -> DataFrame:
+    hard = table(spark, d, "labeled").where("split_name = 'hard'")
+    return evaluation.hard_leaks(hard, table(spark, d, "train_pairs").dropDuplicates(["pair_id"]), store(table(spark, d, "chunks")))
+
+
+@query()
+def refusal_metrics(spark: SparkSession, d: str) -> DataFrame:
+    own = Retriever.build(spark, table(spark, d, "chunks"), HashingEmbedder(128), mode="sparse")
+    return evaluation.refusal_metrics(own.ask(table(spark, d, "refuse")))
+
+
+@query()
+def grounding_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.grounding_metrics(_answers(spark, d), table(spark, d, "labeled"))
+
+
+@query("SELECT date_trunc('hour', asked_at)::TIMESTAMP AS start, retrieve_mode, count(*) AS n_hits, count(*) FILTER (id = -1) AS n_refusable FROM hits GROUP BY ALL")
+def hits_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's windowed counts over the whole log as a batch."""
+    return hit_counts(table(spark, d, "hits"))
+
+
+# loading with rejects
+
+
 @query()
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.rejected(table(spark, d, "raw_records"))
@@ -32,11 +548,3 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     """Every record of both feeds: sound ones with their types, the others with their reason."""
     return rejects.load(table(spark, d, "raw_records"))
-
-
-def queries() -> dict:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
