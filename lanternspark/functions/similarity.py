@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lanternspark.functions.text import content_ngrams, content_tokens, tokens
+from lanternspark.functions.text import content_ngrams, content_tokens, let, tokens
 
 
 def _doubles(v: Column) -> Column:
@@ -23,20 +23,19 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(v)
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(v))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Summed in doubles; 0 for null, empty or zero vectors and for different sizes."""
-    both = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (both > 0), dot(a, b) / both).otherwise(0.0)
+    found = let(norm(a) * norm(b), lambda both: F.when(both > 0, dot(a, b) / both).otherwise(0.0))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), found).otherwise(0.0)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets: 1 if both are empty, 0 if one is."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either"))
+    return let(sizes, lambda n: F.when(n["either"] == 0, 1.0).otherwise(n["both"] / n["either"]))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -58,18 +57,16 @@ def has_zero_keyword_overlap(query: Column, passage: Column) -> Column:
 
 def ngram_coverage(query: Column, passage: Column) -> Column:
     """Share of the query's character n-grams that the passage has; 0 without any."""
-    own = content_ngrams(query)
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, content_ngrams(passage))) / F.size(own))
+    return let(content_ngrams(query), lambda own: F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, content_ngrams(passage))) / F.size(own)))
 
 
 def support_hits(query_tokens: Column, passage_tokens: Column) -> Column:
     """How many of the query's tokens, repeated ones included, the passage has."""
-    return F.size(F.filter(query_tokens, lambda t: F.array_contains(passage_tokens, t)))
+    return let(passage_tokens, lambda have: F.size(F.filter(query_tokens, lambda t: F.array_contains(have, t))))
 
 
 def query_support(query: Column, passage: Column) -> Column:
-    own = content_tokens(query)
-    return F.when(F.size(own) == 0, 0.0).otherwise(support_hits(own, content_tokens(passage)) / F.size(own))
+    return let(content_tokens(query), lambda own: F.when(F.size(own) == 0, 0.0).otherwise(support_hits(own, content_tokens(passage)) / F.size(own)))
 
 
 def lcs_ratio(a: list[str], b: list[str]) -> float:

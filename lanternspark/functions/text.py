@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ SPACE = r"[ \t\n\r\f\x0b]+"
 CITATION = r"\[#?[ \t\n\r\f\x0b]*(-?[0-9]+)[ \t\n\r\f\x0b]*\]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, even if ``use`` names it in a lambda of its own."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case of ASCII letters only."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternspark.functions.constants import NO_EVIDENCE_ID
-from lanternspark.functions.similarity import jaccard, keyword_overlap, lcs_ratio
-from lanternspark.functions.text import content_ngrams, content_tokens, is_dont_know, normalize_query
+from lanternspark.functions.similarity import jaccard, keyword_overlap, lcs_ratio, ngram_coverage
+from lanternspark.functions.text import content_tokens, is_dont_know, normalize_query
 
 
 def overlapping(evals: DataFrame, train: DataFrame, column: str = "query") -> DataFrame:
@@ -56,9 +56,7 @@ def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: Lea
     own = hard.select("qid", "query", "gold_id", content_tokens(F.col("query")).alias("q"))
     with_gold = own.join(gold, "gold_id")
     shared = with_gold.select("qid", F.size(keyword_overlap(F.col("query"), F.col("_t"))).cast("double").alias("value")).where("value > 0")
-    grams = content_ngrams(F.col("query"))
-    cover = F.when(F.size(grams) == 0, 0.0).otherwise(F.size(F.array_intersect(grams, content_ngrams(F.col("_t")))) / F.size(grams))
-    covered = with_gold.select("qid", cover.alias("value")).where(F.col("value") > limits.ngram)
+    covered = with_gold.select("qid", ngram_coverage(F.col("query"), F.col("_t")).alias("value")).where(F.col("value") > limits.ngram)
 
     other = train.select(F.col("query").alias("tq"), F.col("pos_id"), content_tokens(F.col("query")).alias("t")).where(F.size("t") > 0).distinct()
     other = other.withColumn("tid", F.xxhash64("tq", "pos_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternspark.functions import constants as C
-from lanternspark.functions.text import citation_ids, content_tokens, is_blank, is_dont_know, normalize_ws
+from lanternspark.functions.text import citation_ids, content_tokens, is_blank, is_dont_know, let, normalize_ws
 
 HIT = "struct<id:bigint,score:double,source:string,text:string,score_is_cosine:boolean>"
 
@@ -32,36 +32,37 @@ class GroundingConfig:
 DISTINCTIVE = 5  # bytes from which a missing query token blocks the lexical way
 
 
-def answerable(query_tokens: Column, hit_id: Column, score: Column, is_cosine: Column, text: Column, c: GroundingConfig = GroundingConfig()) -> Column:
-    """Whether a passage answers a query, by its content tokens. A null score or text counts as 0 or empty."""
-    have = content_tokens(text)
+def answerable(query_tokens: Column, hit_id: Column, score: Column, is_cosine: Column, passage_tokens: Column, c: GroundingConfig = GroundingConfig()) -> Column:
+    """Whether a passage answers a query, both as content tokens. A null score counts as 0."""
     score, is_cosine = F.coalesce(score, F.lit(0.0)), F.coalesce(is_cosine, F.lit(False))
-    missing = F.exists(query_tokens, lambda t: (F.octet_length(t) >= DISTINCTIVE) & ~F.array_contains(have, t))
-    hits = F.size(F.filter(query_tokens, lambda t: F.array_contains(have, t)))
-    support = F.when(F.size(query_tokens) == 0, 0.0).otherwise(hits / F.size(query_tokens))
     near = is_cosine & (score >= c.min_score_without_query_support)
-    return (
-        F.when(hit_id == C.NO_EVIDENCE_ID, False)
-        .when(is_cosine & (score < c.min_score), False)
-        .when(missing, near)
-        .when((hits >= c.min_query_support_hits) & (support >= c.min_query_support), True)
-        .otherwise(near)
-    )
+
+    def by_tokens(have: Column) -> Column:
+        missing = F.exists(query_tokens, lambda t: (F.octet_length(t) >= DISTINCTIVE) & ~F.array_contains(have, t))
+        hits = F.size(F.filter(query_tokens, lambda t: F.array_contains(have, t)))
+        enough = (hits >= c.min_query_support_hits) & (hits >= c.min_query_support * F.size(query_tokens)) & (F.size(query_tokens) > 0)
+        return F.when(missing, near).when(enough, True).otherwise(near)
+
+    return F.when(hit_id == C.NO_EVIDENCE_ID, False).when(is_cosine & (score < c.min_score), False).otherwise(let(passage_tokens, by_tokens))
 
 
 def with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits (qid, id, …) with the source and text of their chunk, or the fixed placeholder."""
-    own = chunks.select("id", F.col("source").alias("source"), F.col("text").alias("text"), F.lit(True).alias("_there"))
+    """Hits (qid, id, …) with (source, text, passage_tokens) of their chunk, or the fixed placeholder.
+
+    A chunk is tokenised once, however many hits name it; unused columns are pruned before the join.
+    """
+    own = chunks.select("id", "source", "text", content_tokens(F.col("text")).alias("passage_tokens"), F.lit(True).alias("_there"))
     rows = hits.join(own, "id", "left")
     gone = F.col("_there").isNull()
+    rows = rows.withColumn("passage_tokens", F.when(gone, content_tokens(F.lit(C.MISSING_TEXT))).otherwise(F.col("passage_tokens")))
     return rows.withColumn("source", F.when(gone, C.MISSING_SOURCE).otherwise(F.col("source"))).withColumn("text", F.when(gone, C.MISSING_TEXT).otherwise(F.col("text"))).drop("_there")
 
 
 def gated(hits: DataFrame, queries: DataFrame, c: GroundingConfig = GroundingConfig()) -> DataFrame:
-    """hits (qid, id, score, hit_rank, score_is_cosine, source, text) + (query, query_blank, is_answerable)."""
+    """Hits as ``with_text`` gives them, with (query, query_blank, is_answerable)."""
     asked = queries.select("qid", "query", content_tokens(F.col("query")).alias("_q"), is_blank(F.col("query")).alias("query_blank"))
-    ok = ~F.col("query_blank") & answerable(F.col("_q"), F.col("id"), F.col("score"), F.col("score_is_cosine"), F.col("text"), c)
-    return hits.join(asked, "qid").withColumn("is_answerable", ok).drop("_q")
+    ok = ~F.col("query_blank") & answerable(F.col("_q"), F.col("id"), F.col("score"), F.col("score_is_cosine"), F.col("passage_tokens"), c)
+    return hits.join(asked, "qid").withColumn("is_answerable", ok).drop("_q", "passage_tokens")
 
 
 def refuses_no_evidence(hits: Column, answerable_ids: Column) -> Column:
@@ -101,39 +102,44 @@ def content_support(answer: Column, used: Column) -> Column:
     """Share of the answer's content tokens, citations and prefix left out, that the context has; 0 without any."""
     bare = F.regexp_replace(F.coalesce(answer, F.lit("")), r"\[#?[ \t\n\r\f\x0b]*-?[0-9]+[ \t\n\r\f\x0b]*\]", " ")
     bare = F.regexp_replace(bare, f"^(?i){C.EXTRACTIVE_PREFIX}", "")
-    own, have = content_tokens(bare), content_tokens(context_blob(used))
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.filter(own, lambda t: F.array_contains(have, t))) / F.size(own))
+    share = lambda own: let(content_tokens(context_blob(used)), lambda have: F.size(F.filter(own, lambda t: F.array_contains(have, t))) / F.size(own))
+    return let(content_tokens(bare), lambda own: F.when(F.size(own) == 0, 0.0).otherwise(share(own)))
 
 
 def validate(answer: Column, used: Column, c: GroundingConfig = GroundingConfig()) -> Column:
     """struct(ok, refused, reason, cited_ids, illegal_ids, content_support) by the rules in their order."""
-    cited = citation_ids(answer)
-    refused = is_dont_know(answer)
-    illegal = F.array_except(cited, allowed_ids(used))
     none = F.array().cast("array<bigint>")
-    support = content_support(answer, used)
     empty = F.size(used) == 0
-    judged = ~empty & ~refused
-    unsupported = support + 1e-9 < c.min_content_support
-    uncited = (F.size(cited) == 0) & c.require_citations
-    reason = (
-        F.when(empty & ~refused, C.REASON_NO_CONTEXT)
-        .when(empty & (F.size(cited) > 0), C.REASON_REFUSAL_CITES)
-        .when(empty, C.REASON_REFUSED_EMPTY)
-        .when(refused, C.REASON_REFUSED)
-        .when(F.size(illegal) > 0, C.REASON_ILLEGAL)
-        .when(uncited, C.REASON_UNCITED)
-        .when(unsupported, F.format_string(C.REASON_UNSUPPORTED, support))
-        .otherwise(C.REASON_OK)
-    )
-    return F.struct(
-        F.startswith(reason, F.lit("ok")).alias("ok"),
-        refused.alias("refused"),
-        reason.alias("reason"),
-        cited.alias("cited_ids"),
-        F.when(judged, illegal).otherwise(none).alias("illegal_ids"),
-        F.when(judged & (F.size(illegal) == 0) & ~uncited, support).otherwise(0.0).alias("content_support"),
-    )
+
+    def judge(x: Column) -> Column:
+        cited, refused, support = x["cited"], x["refused"], x["support"]
+        illegal = F.array_except(cited, allowed_ids(used))
+        judged = ~empty & ~refused
+        uncited = (F.size(cited) == 0) & c.require_citations
+        reason = (
+            F.when(empty & ~refused, C.REASON_NO_CONTEXT)
+            .when(empty & (F.size(cited) > 0), C.REASON_REFUSAL_CITES)
+            .when(empty, C.REASON_REFUSED_EMPTY)
+            .when(refused, C.REASON_REFUSED)
+            .when(F.size(illegal) > 0, C.REASON_ILLEGAL)
+            .when(uncited, C.REASON_UNCITED)
+            .when(support + 1e-9 < c.min_content_support, F.format_string(C.REASON_UNSUPPORTED, support))
+            .otherwise(C.REASON_OK)
+        )
+        return F.struct(
+            F.startswith(reason, F.lit("ok")).alias("ok"),
+            refused.alias("refused"),
+            reason.alias("reason"),
+            cited.alias("cited_ids"),
+            F.when(judged, illegal).otherwise(none).alias("illegal_ids"),
+            F.when(judged & (F.size(illegal) == 0) & ~uncited, support).otherwise(0.0).alias("content_support"),
+        )
+
+    def facts(said: Column) -> Column:
+        support = F.when(empty, 0.0).otherwise(content_support(said, used))
+        return let(F.struct(citation_ids(said).alias("cited"), is_dont_know(said).alias("refused"), support.alias("support")), judge)
+
+    return let(answer, facts)
 
 
 def six_digits(value: float | None) -> str:

@@ -100,7 +100,7 @@ class Retriever:
         return dense.search(self.embed_queries(queries), self.vectors, k)
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, id, score, hit_rank, score_is_cosine, source, text) of the k best of every (qid, query).
+        """(qid, id, score, hit_rank, score_is_cosine, source, text, passage_tokens) of the k best of every (qid, query).
 
         In hybrid mode fusion settles which k are in; they are then ordered by cosine alone.
         """
