@@ -1,15 +1,28 @@
-"""BM25: postings, document frequencies and top-k search as joins, aggregates and window ranks."""
+"""BM25: postings and document frequencies as aggregates, and top-k search in one pass over the documents.
+
+A common term is in most documents and most queries, so joining queries to postings would make nearly
+every pair a row. Search sends the stated queries in blocks of bounded size to the documents instead; a
+task adds up scores for some documents at a time and keeps only its k best of each query.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternspark.functions.text import NO_EVIDENCE_ID, tokens
+from lanternspark.operators.embedders import simple_tokens
+from lanternspark.session import spread
 
 K1, B = 1.2, 0.75
+#: Queries that go to the workers at a time, and scores a task holds at a time.
+QUERY_BLOCK, SCORES = 8192, 1 << 22
 
 
 def store(chunks: DataFrame) -> DataFrame:
@@ -21,6 +34,7 @@ def store(chunks: DataFrame) -> DataFrame:
 class Bm25:
     """The index of a store. Null texts are documents of length 0: they count in N and the mean length."""
 
+    docs: DataFrame
     postings: DataFrame
     stats: DataFrame
 
@@ -30,12 +44,13 @@ class Bm25:
 
         Terms are counted per document before anything is joined; the mean length and N are one row.
         """
-        docs = store(chunks).where(F.col("id") != NO_EVIDENCE_ID).select("id", tokens(F.col("text")).alias("t"))
+        own = store(chunks).where(F.col("id") != NO_EVIDENCE_ID).select("id", "text")
+        docs = own.select("id", tokens(F.col("text")).alias("t"))
         length = F.size("t")
         terms = docs.select("id", length.alias("len"), F.explode("t").alias("term"))
         postings = terms.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
         stats = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(length), F.lit(0.0)).alias("avgdl"))
-        return cls(postings, stats)
+        return cls(own, postings, stats)
 
     def df(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -49,33 +64,119 @@ class Bm25:
         """(qid, term, qtf) of (qid, query); stop words stay."""
         return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(qid, id, score) of every pair with a score over 0, by an equi-join on the queries' terms only.
-
-        The part of the score that doesn't depend on the query is computed on the posting. Postings of
-        terms that no query has never reach the join.
-        """
-        asked = self.query_tf(queries)
-        used = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
-        weighed = used.join(used.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(self.stats))
+    def _weight(self, postings: DataFrame, df: DataFrame) -> DataFrame:
+        """(term, id, w): what of a posting's score doesn't depend on the query."""
         size = K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
-        weighed = weighed.select("term", "id", (self.idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + size)).alias("w"))
-        return asked.join(weighed, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score > 0")
+        rows = postings.join(df, "term").crossJoin(F.broadcast(self.stats))  # one row
+        return rows.select("term", "id", (self.idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + size)).alias("w"))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, id, score, hit_rank): the k best, ties to the smaller id."""
-        return top_k(self.scores(queries), k)
+        """(qid, id, score, hit_rank): the k best with a score over 0, ties to the smaller id."""
+        spark = queries.sparkSession
+        n_docs, avgdl = self.stats.first()
+        rows, out = spread(self.docs), None
+        for block in _blocks(queries):
+            terms = sorted({t for _, q in block for t in q})
+            #: A row a term of the block at most.
+            asked = spark.createDataFrame([(t,) for t in terms], "term string")
+            df = {r.term: r.df for r in self.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).toLocalIterator()}
+            lists: dict[str, list[tuple[int, float]]] = {}
+            for n, (_, q) in enumerate(block):
+                for t, qtf in q.items():
+                    if t in df:
+                        lists.setdefault(t, []).append((n, qtf * float(np.log(1 + (n_docs - df[t] + 0.5) / (df[t] + 0.5)))))
+            sent = (np.array([i for i, _ in block], np.int64), {t: (np.array([n for n, _ in v]), np.array([w for _, w in v])) for t, v in lists.items()}, float(avgdl))
+            found = rows.mapInArrow(_search(spark.sparkContext.broadcast(sent), k), "qid bigint, id bigint, score double")
+            out = found if out is None else out.unionByName(found)
+        return top_k(out if out is not None else spark.createDataFrame([], "qid bigint, id bigint, score double"), k)
 
     def score_ids(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """(qid, id, score) of given pairs; 0 for a document that isn't indexed or shares no term."""
-        return pairs.select("qid", "id").join(self.scores(queries), ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        """(qid, id, score) of given pairs; 0 for a document that isn't indexed or shares no term.
+
+        Only the pairs' own terms are joined, and only their postings are weighed.
+        """
+        asked = self.query_tf(queries)
+        used = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        weighed = self._weight(used, used.groupBy("term").agg(F.count("*").alias("df")))
+        own = pairs.select("qid", "id").distinct()
+        sums = own.join(asked, "qid").join(weighed, ["id", "term"]).groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+        return pairs.select("qid", "id").join(sums, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def max_score(self, queries: DataFrame) -> DataFrame:
         """(qid, max_score) of every query, 0 without any hit."""
-        best = self.scores(queries).groupBy("qid").agg(F.max("score").alias("m"))
+        best = self.search(queries, 1).select("qid", F.col("score").alias("m"))
         return queries.select("qid").distinct().join(best, "qid", "left").select("qid", F.coalesce("m", F.lit(0.0)).alias("max_score"))
 
 
+def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, Counter]]]:
+    """(qid, term counts) of the queries with a term; rows of one qid are one query."""
+    block: dict[int, Counter] = {}
+    for row in queries.select("qid", "query").where("qid is not null").toLocalIterator():
+        own = Counter(simple_tokens(row.query))
+        if own:
+            if row.qid not in block and len(block) == QUERY_BLOCK:
+                yield [*block.items()]
+                block = {}
+            block[row.qid] = block.get(row.qid, Counter()) + own
+    if block:
+        yield [*block.items()]
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's k best scores over 0, by 9 digits, ties to the smaller id."""
+    keys = np.round(scores, 9)
+    if scores.shape[1] > k:
+        least = -np.partition(-keys, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero((keys >= least) & (scores > 0))
+    else:
+        row, col = np.nonzero(scores > 0)
+    order = np.lexsort((ids[col], -keys[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], col[rank < k]
+
+
+def _search(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, lists, avgdl = shared.value
+        step = max(16, SCORES // max(1, len(qids)))
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for batch in batches:
+            for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
+                ids = part.column(0).to_numpy()
+                found = [simple_tokens(t) for t in part.column(1).to_pylist()]
+                size = K1 * (1 - B + B * np.array([len(t) for t in found]) / (avgdl or 1.0))
+                where: dict[str, tuple[list[int], list[int]]] = {}
+                for n, own in enumerate(found):
+                    for t, tf in Counter(own).items():
+                        if t in lists:
+                            at, counts = where.setdefault(t, ([], []))
+                            at.append(n)
+                            counts.append(tf)
+                scores = np.zeros((len(qids), len(ids)))
+                for t, (at, counts) in where.items():
+                    rows, weights = lists[t]
+                    tf = np.array(counts)
+                    scores[np.ix_(rows, at)] += np.outer(weights, tf * (K1 + 1) / (tf + size[at]))
+                row, col = best_of(scores, ids, k)
+                held = [np.concatenate(x) for x in zip(held, (row, ids[col], scores[row, col]), strict=True)]
+                if len(held[0]) > 4 * k * len(qids) + 1024:
+                    held = _keep(held, k)
+        row, ids, scores = _keep(held, k)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids), pa.array(scores)], names=["qid", "id", "score"])
+
+    return run
+
+
+def _keep(held: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (row, id, score) triples the k best of each row."""
+    row, ids, scores = held
+    order = np.lexsort((ids, -np.round(scores, 9), row))
+    rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    order = order[rank < k]
+    return [row[order], ids[order], scores[order]]
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, hit_rank) by score to 9 digits, ties to the smaller id; Spark prunes each partition first."""
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")

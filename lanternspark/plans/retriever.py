@@ -111,19 +111,19 @@ class Retriever:
         elif self.mode == "dense":
             hits = top_k(self.search_dense(queries, pool), k).withColumn("score_is_cosine", F.lit(True))
         else:
-            scores = cut(self.bm25.scores(queries))
             near = cut(self.search_dense(queries, pool))
-            best = scores.groupBy("qid").agg(F.max("score").alias("max_score"))
-            # sparse scores of dense hits too, so that each hit's boost is its own
-            both = scores.join(near.select("qid", "id"), ["qid", "id"], "left_semi").unionByName(top_k(scores, pool).select("qid", "id", "score")).distinct()
-            fused = fusion.fuse(near, self._listed(both), best, k, "hybrid", self.config)
+            far = cut(self.bm25.search(queries, pool))
+            best = far.where("hit_rank = 1").select("qid", F.col("score").alias("max_score"))
+            if self.config.fusion == "dense_primary":  # each dense hit's boost is by its own score, in the pool or not
+                others = near.select("qid", "id").join(far.select("qid", "id"), ["qid", "id"], "left_anti")
+                own = self.bm25.score_ids(others, queries).where("score > 0").withColumn("hit_rank", F.lit(1 << 30))
+                sparse = far.unionByName(own)
+            else:
+                sparse = far
+            fused = fusion.fuse(near, sparse, best, k, "hybrid", self.config)
             hits = fusion.rescore_by_cosine(fused, self._cosines(fused, near, queries)).withColumn("score_is_cosine", F.lit(True))
         return grounding.with_text(hits, self.chunks)
 
-    @staticmethod
-    def _listed(scored: DataFrame) -> DataFrame:
-        return top_k(scored, 1 << 30)
-
     def _cosines(self, fused: DataFrame, near: DataFrame, queries: DataFrame) -> DataFrame:
         """(qid, id, cosine): known ones from the dense pool, the others from stored vectors."""
         from lanternspark.functions.similarity import cosine
