@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lanternspark.operators.sparse import top_k
+from lanternspark.session import rows_of
 
 #: Query vectors that go to the workers at a time, and scores a task holds at a time.
 QUERY_BLOCK, SCORES = 16_384, 1 << 21
@@ -68,7 +69,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[int, list]]:
     held: dict[int, list] = {}
-    for row in queries.toLocalIterator():
+    for row in rows_of(queries, QUERY_BLOCK):
         own = held.setdefault(len(row.vec), [])
         own.append((row.qid, row.vec))
         if len(own) == QUERY_BLOCK:

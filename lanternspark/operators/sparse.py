@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lanternspark.functions.text import NO_EVIDENCE_ID, tokens
 from lanternspark.operators.embedders import simple_tokens
-from lanternspark.session import spread
+from lanternspark.session import rows_of, spread
 
 K1, B = 1.2, 0.75
 #: Queries that go to the workers at a time, and scores a task holds at a time.
@@ -79,7 +79,7 @@ class Bm25:
             terms = sorted({t for _, q in block for t in q})
             #: A row a term of the block at most.
             asked = spark.createDataFrame([(t,) for t in terms], "term string")
-            df = {r.term: r.df for r in self.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).toLocalIterator()}
+            df = {r.term: r.df for r in self.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
             lists: dict[str, list[tuple[int, float]]] = {}
             for n, (_, q) in enumerate(block):
                 for t, qtf in q.items():
@@ -111,7 +111,7 @@ class Bm25:
 def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, Counter]]]:
     """(qid, term counts) of the queries with a term; rows of one qid are one query."""
     block: dict[int, Counter] = {}
-    for row in queries.select("qid", "query").where("qid is not null").toLocalIterator():
+    for row in rows_of(queries.select("qid", "query").where("qid is not null"), QUERY_BLOCK):
         own = Counter(simple_tokens(row.query))
         if own:
             if row.qid not in block and len(block) == QUERY_BLOCK:

@@ -117,10 +117,11 @@ class Retriever:
             if self.config.fusion == "dense_primary":  # each dense hit's boost is by its own score, in the pool or not
                 others = near.select("qid", "id").join(far.select("qid", "id"), ["qid", "id"], "left_anti")
                 own = self.bm25.score_ids(others, queries).where("score > 0").withColumn("hit_rank", F.lit(1 << 30))
-                sparse = far.unionByName(own)
+                sparse = cut(far.unionByName(own))
             else:
                 sparse = far
-            fused = fusion.fuse(near, sparse, best, k, "hybrid", self.config)
+            # lists of the pool's size a query: cheaper to keep than to compute again in each branch
+            fused = cut(fusion.fuse(near, sparse, best, k, "hybrid", self.config))
             hits = fusion.rescore_by_cosine(fused, self._cosines(fused, near, queries)).withColumn("score_is_cosine", F.lit(True))
         return grounding.with_text(hits, self.chunks)
 

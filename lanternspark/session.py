@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def build_session(app: str = "lanternspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,10 +60,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, per_task_bytes: int = 4 << 20) -> DataFrame:
+def rows_of(df: DataFrame, block: int) -> Iterator[Row]:
+    """The rows of ``df`` on the driver: at once if they are at most ``block``, else partition by partition."""
+    head = df.limit(block + 1).collect()
+    return iter(head) if len(head) <= block else df.toLocalIterator(prefetchPartitions=True)
+
+
+#: Operators whose input is shuffled: their output is already spread by size.
+_SHUFFLED = ("Aggregate", "Join", "Window", "Sort", "Repartition", "Exchange")
+
+
+def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that feeds costly Python work, when it has fewer partitions than cores.
 
-    A no-op when the scan already has a partition for every core.
+    A no-op when the scan already has a partition for every core, and for results of a shuffle, whose
+    number of partitions is known only by running it.
     """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(name in plan for name in _SHUFFLED):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)
