@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternspark.llm.words import Fingerprints, shingles, words
-from lanternspark.session import spread
+from lanternspark.session import rows_of, spread
 
 #: Words of items that go to the workers at a time; more items are taken block by block.
 BLOCK_WORDS = 1 << 20
+#: Items that the driver takes at once; beyond them it reads partition by partition.
+BLOCK_ITEMS = 10_000
 
 
 class Index:
@@ -151,7 +153,7 @@ def _match(shared):
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
     """The items in blocks of at most BLOCK_WORDS words (an item of more is a block of its own)."""
     block, size = [], 0
-    for row in items.toLocalIterator():
+    for row in rows_of(items, BLOCK_ITEMS):
         own = words(row.text)
         if block and size + len(own) > BLOCK_WORDS:
             yield block
@@ -180,7 +182,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 15, shingle: int = 5,
         first = spark.sparkContext.broadcast(index)
         counted = rows.mapInArrow(_count(first), "g int, shingle bigint, n bigint").groupBy("g", "shingle").agg(F.sum("n").alias("n"))
         #: At most as many rows as the block has shingles.
-        counts = {(r.g, r.shingle & 0xFFFFFFFFFFFFFFFF): r.n for r in counted.toLocalIterator()}
+        counts = {(r.g, r.shingle & 0xFFFFFFFFFFFFFFFF): r.n for r in counted.collect()}
         index.rank(counts)
         found = rows.mapInArrow(_match(spark.sparkContext.broadcast(index)), "item_id bigint, doc_id bigint")
         out = out.unionByName(found)
