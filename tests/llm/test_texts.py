@@ -188,6 +188,20 @@ def test_sound_texts_stay(model, text):
     assert model.repair(text) == (text, []) and not mojibake.lossy(text)
 
 
+@pytest.mark.parametrize(("lang", "really", "read_as"), [("de", "cp1252", "cp437"), ("fr", "cp1252", "mac_roman"), ("ru", "koi8-r", "cp1251"), ("ru", "cp1251", "latin-1")])
+@pytest.mark.parametrize("label", ["same", "qaa"])
+def test_damage_does_not_vouch_for_itself(lang, really, read_as, label):
+    page, rng = mojibake.code_page(read_as), random.Random(2)
+    words_ = SOUND[lang].replace(".", "").split()
+    sound = [" ".join(rng.sample(words_, 9)) + f" N{k}" for k in range(90)]
+    bad = ["".join(page[b] for b in x.encode(really)) for x in sound[:30]]
+    other = lang if label == "same" else label  # a code of its own: a group of damaged texts alone
+    own = mojibake.Model([*((other, x) for x in bad), *((lang, x) for x in sound[30:])])
+    pairs = [(b, x) for b, x in zip(bad, sound, strict=False) if b != x]
+    assert [own.repair(b)[0] for b, _ in pairs] == [x for _, x in pairs]
+    assert all(own.repair(x) == (x, []) for x in sound[30:])
+
+
 def test_lost_characters(model):
     assert mojibake.lossy("�ndice") and not mojibake.lossy("The decoder prints `�` for it.")
 
