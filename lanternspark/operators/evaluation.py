@@ -50,7 +50,8 @@ def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: Lea
     """(qid, rule, value) of every integrity rule that a hard query breaks.
 
     Pairs of a hard and a training query are found by shared content tokens: without one, both
-    similarities are 0. The longest common subsequence is computed for those pairs only.
+    similarities are 0, but 1 if neither query has any content token, which the existence of such a
+    training query settles. The longest common subsequence is computed for the pairs only.
     """
     gold = chunks.select(F.col("id").alias("gold_id"), F.col("text").alias("_t"))
     own = hard.select("qid", "query", "gold_id", content_tokens(F.col("query")).alias("q"))
@@ -58,7 +59,10 @@ def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: Lea
     shared = with_gold.select("qid", F.size(keyword_overlap(F.col("query"), F.col("_t"))).cast("double").alias("value")).where("value > 0")
     covered = with_gold.select("qid", ngram_coverage(F.col("query"), F.col("_t")).alias("value")).where(F.col("value") > limits.ngram)
 
-    other = train.select(F.col("query").alias("tq"), F.col("pos_id"), content_tokens(F.col("query")).alias("t")).where(F.size("t") > 0).distinct()
+    every = train.select(F.col("query").alias("tq"), F.col("pos_id"), content_tokens(F.col("query")).alias("t"))
+    wordless = every.where(F.size("t") == 0).limit(1).select(F.lit(1.0).alias("s"), F.lit(1.0).alias("j"))
+    alike = own.where(F.size("q") == 0).select("qid").crossJoin(F.broadcast(wordless))
+    other = every.where(F.size("t") > 0).distinct()
     other = other.withColumn("tid", F.xxhash64("tq", "pos_id"))
     pairs = own.select("qid", F.explode(F.array_distinct("q")).alias("w")).join(other.select("tid", F.explode(F.array_distinct("t")).alias("w")), "w").select("qid", "tid").distinct()
     pairs = pairs.join(own.select("qid", "q"), "qid").join(other.select("tid", "t"), "tid")
@@ -70,7 +74,7 @@ def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: Lea
         return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     scored = pairs.select("qid", lcs("q", "t").alias("s"), jaccard(F.col("q"), F.col("t")).alias("j"))
-    worst = scored.groupBy("qid").agg(F.max("s").alias("s"), F.max("j").alias("j"))
+    worst = scored.unionByName(alike).groupBy("qid").agg(F.max("s").alias("s"), F.max("j").alias("j"))
     long_ = lambda c: F.explode(F.filter(F.array_distinct(c), lambda x: F.octet_length(x) >= limits.token_bytes)).alias("w")
     same = own.select("qid", "gold_id", long_("q")).join(other.select(F.col("pos_id").alias("gold_id"), long_("t")).distinct(), ["gold_id", "w"])
     same = same.groupBy("qid").agg(F.countDistinct("w").cast("double").alias("value"))

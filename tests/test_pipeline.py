@@ -177,6 +177,16 @@ def test_evaluation_rules(spark, frame):
     assert "mrr" in ev.format_report({"mrr": 0.5})
 
 
+def test_hard_queries_without_content_tokens_leak(frame):
+    chunks = frame(CHUNKS, (1, "s", "herons like water"))
+    hard = frame("qid bigint, query string, gold_id bigint", (1, None, 1), (2, " ", 1), (3, "what is the", 9), (4, "qqq www", 1))
+    schema, sound = "query string, pos_id bigint", ("bird reeds nest place", 1)
+    for empty in (None, "  ", "is it the"):
+        rows = sorted((r.qid, r.rule, r.value) for r in ev.hard_leaks(hard, frame(schema, sound, (empty, 2), (empty, 3)), chunks).collect())
+        assert rows == [(q, rule, 1.0) for q in (1, 2, 3) for rule in ("jaccard", "sequence")]
+    assert ev.hard_leaks(hard, frame(schema, sound), chunks).count() == 0
+
+
 def test_service(spark, chunks):
     service = RagService(spark, Retriever.build(spark, chunks, HashingEmbedder(64), mode="sparse"))
     status, body = respond(service, "POST", "/ask", '{"query":"heron nests in reeds","k":2}')
