@@ -36,9 +36,9 @@ def sentinel_row(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(NO_EVIDENCE_ID, NO_EVIDENCE_SOURCE, NO_EVIDENCE_TEXT)], "id bigint, source string, text string")
 
 
-def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
     """All rows if they are few enough, else the ``most`` with the least hashes of ``key``: a fitting sample."""
-    return rows.orderBy(F.xxhash64(key), key).limit(most)
+    return rows.orderBy(F.xxhash64(*key), *key).limit(most)
 
 
 @dataclass
@@ -71,23 +71,23 @@ class Retriever:
 
     @classmethod
     def build_word2vec(cls, spark: SparkSession, chunks: DataFrame, c: Word2VecConfig = Word2VecConfig(), **kw) -> Retriever:
-        texts = [r.text for r in sampled(store(chunks), "id", MAX_CHUNKS).orderBy("id").collect()]
+        texts = [r.text for r in sampled(store(chunks), MAX_CHUNKS, "id").orderBy("id").collect()]
         return cls.build(spark, chunks, train_word2vec(texts, c), **kw)
 
     @classmethod
     def build_contrastive(cls, spark: SparkSession, chunks: DataFrame, pairs: DataFrame, c: ContrastiveConfig = ContrastiveConfig(), **kw) -> Retriever:
         """Adds the sentinel and out-of-scope questions, trains on (query, pos_id), then builds.
 
-        Training takes at most MAX_PAIRS pairs and the chunks they name with others up to MAX_CHUNKS.
+        Training takes at most MAX_CHUNKS chunks, those that pairs name before others, and at most MAX_PAIRS
+        of the distinct pairs that name one of them, all by the least hashes.
         """
         own = store(chunks)
-        known = pairs.select("query", F.col("pos_id").cast("bigint").alias("pos_id")).where(~is_blank(F.col("query")) & F.col("pos_id").isNotNull())
-        chosen = [(r.query, r.pos_id) for r in sampled(known, "query", MAX_PAIRS).orderBy("query", "pos_id").collect()]
-        named = {i for _, i in chosen}
-        first = own.orderBy((~F.col("id").isin(*named)) if len(named) < 10_000 else F.lit(0), F.xxhash64("id")).limit(MAX_CHUNKS)
+        known = pairs.select("query", F.col("pos_id").cast("bigint").alias("pos_id")).where(~is_blank(F.col("query")) & F.col("pos_id").isNotNull()).distinct()
+        named = known.select(F.col("pos_id").alias("id"), F.lit(True).alias("named")).distinct()
+        first = own.join(named, "id", "left").orderBy(F.col("id") != NO_EVIDENCE_ID, F.col("named").isNull(), F.xxhash64("id"), "id").limit(MAX_CHUNKS)
         rows = with_sentinel(sorted((r.id, r.text) for r in first.select("id", "text").collect()))
-        there = {i for i, _ in rows}
-        chosen = [p for p in chosen if p[1] in there]
+        there = spark.createDataFrame([(i,) for i, _ in rows], "pos_id bigint")
+        chosen = [(r.query, r.pos_id) for r in sampled(known.join(there, "pos_id", "left_semi"), MAX_PAIRS, "query", "pos_id").orderBy("query", "pos_id").collect()]
         if own.where(F.col("id") == NO_EVIDENCE_ID).isEmpty():
             own = own.unionByName(sentinel_row(spark))
         return cls.build(spark, own, train_contrastive(rows, chosen + out_of_scope_pairs(len(chosen)), c), **kw)

@@ -62,6 +62,44 @@ def test_contrastive_beats_chance_and_refuses(spark, chunks, pairs):
             index.parse_weights(bad)
 
 
+def trained_on(spark, monkeypatch, chunks, pairs, most_chunks, most_pairs):
+    """The chunks' ids and the pairs that build_contrastive hands to the trainer."""
+    from lanternspark.plans import retriever
+
+    class Stop(Exception):
+        pass
+
+    def take(rows, chosen, _):
+        raise Stop({i for i, _ in rows if i >= 0}, [p for p in chosen if p[1] >= 0])
+
+    monkeypatch.setattr(retriever, "MAX_CHUNKS", most_chunks)
+    monkeypatch.setattr(retriever, "MAX_PAIRS", most_pairs)
+    monkeypatch.setattr(retriever, "train_contrastive", take)
+    with pytest.raises(Stop) as stopped:
+        Retriever.build_contrastive(spark, chunks, pairs)
+    return stopped.value.args
+
+
+def test_training_keeps_the_pairs_of_its_chunks(spark, monkeypatch):
+    ids = F.col("id")
+    chunks = spark.range(15_000).select("id", F.lit("s").alias("source"), F.concat(F.lit("text "), ids).alias("text"))
+    pairs = spark.range(10_500).select(F.concat(F.lit("query "), ids).alias("query"), ids.alias("pos_id"))
+    there, chosen = trained_on(spark, monkeypatch, chunks, pairs.union(pairs), 12_000, 50_000)
+    assert len(there) == 12_000 and sorted(i for _, i in chosen) == list(range(10_500))
+    there, chosen = trained_on(spark, monkeypatch, chunks, pairs, 2_000, 1_000)  # fewer chunks than are named
+    assert len(there) == 2_000 and max(there) < 10_500 and len(chosen) == 1_000 and {i for _, i in chosen} <= there
+
+
+def test_a_frequent_query_does_not_fill_the_sample(spark, monkeypatch):
+    chunks = spark.range(300).select("id", F.lit("s").alias("source"), F.lit("text").alias("text"))
+    hot = spark.range(1000).select(F.concat(F.lit("hot "), "id").alias("q")).orderBy(F.xxhash64("q")).first().q  # of a small hash
+    own = F.col("id") % 3 == 0
+    for copies in (1, 100):  # a third of the rows: one pair again and again, or many pairs
+        pairs = spark.range(300).select(F.when(own, hot).otherwise(F.concat(F.lit("query "), "id")).alias("query"), F.when(own, F.col("id") % copies).otherwise(F.col("id")).alias("pos_id"))
+        _, chosen = trained_on(spark, monkeypatch, chunks, pairs, 300, 60)
+        assert len(chosen) == len(set(chosen)) == 60 and sum(q == hot for q, _ in chosen) < 40
+
+
 def test_training_variants_and_errors():
     docs = list(enumerate(TEXTS))
     for c in (ContrastiveConfig(dim=8, epochs=3, full_doc_softmax=False, max_negatives=3), ContrastiveConfig(dim=8, epochs=3, query_query_weight=0.1, hard_start_epoch=0)):
