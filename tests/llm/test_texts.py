@@ -183,6 +183,17 @@ def test_twice_garbled_and_partly_garbled(model):
     assert model.repair(sound + "\n" + once)[0] == sound + "\n" + sound
 
 
+def test_parts_garbled_by_several_chains_twice(model):
+    parts, bad = [SOUND[x] for x in ("de", "fr", "de")], []
+    for text, read_as in zip(parts, ("cp1252", "mac_roman", "cp437"), strict=True):
+        page = mojibake.code_page(read_as)
+        for _ in range(2):
+            text = "".join(page[b] for b in text.encode())
+        bad.append(text)
+    restored, steps = model.repair("\n".join(bad))
+    assert restored == "\n".join(parts) and len(steps) == 6
+
+
 @pytest.mark.parametrize("text", [*SOUND.values(), "plain", "", "If a page shows `Ã©` or `â€™`, the reader used the wrong table.", "Typical damage looks like “Ã¼” where ü was meant.", "ATENÇÃO: NÃO MOVA", "x² + y³ ≈ 7½", "Ελληνικό κείμενο 検索 🧊"])
 def test_sound_texts_stay(model, text):
     assert model.repair(text) == (text, []) and not mojibake.lossy(text)
