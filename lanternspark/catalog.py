@@ -521,7 +521,8 @@ def hard_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def refusal_metrics(spark: SparkSession, d: str) -> DataFrame:
-    own = Retriever.build(spark, table(spark, d, "chunks"), HashingEmbedder(128), mode="sparse")
+    """In the primary mode, with the sentinel, so that answers by cosine count as failures."""
+    own = Retriever.build(spark, table(spark, d, "chunks").unionByName(sentinel_row(spark), allowMissingColumns=True), HashingEmbedder(128))
     return evaluation.refusal_metrics(own.ask(table(spark, d, "refuse")))
 
 

@@ -225,6 +225,14 @@ def test_hard_queries_without_content_tokens_leak(frame):
     assert ev.hard_leaks(hard, frame(schema, sound), chunks).count() == 0
 
 
+def test_refusal_metrics_count_near_answers(spark, frame, tmp_path):
+    frame(CHUNKS, *((i, "s", t) for i, t in enumerate(TEXTS))).write.parquet(str(tmp_path / "chunks.parquet"))
+    asked = [(1, TEXTS[0] + " quietly"), (2, "zzz qqq"), (3, " ")]
+    frame("qid bigint, query string", *asked).write.parquet(str(tmp_path / "refuse.parquet"))
+    row = catalog.queries()["refusal_metrics"](spark, str(tmp_path)).first()
+    assert (row.n, row.n_failed) == (3, 1)
+
+
 def test_service(spark, chunks):
     service = RagService(spark, Retriever.build(spark, chunks, HashingEmbedder(64), mode="sparse"))
     status, body = respond(service, "POST", "/ask", '{"query":"heron nests in reeds","k":2}')
