@@ -28,8 +28,8 @@ def squeeze(text: Column) -> Column:
 def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Byte ranges of the pieces of ``text``; each is of ``limit`` bytes at most, but never under a code point.
 
-    Consecutive pieces share at most ``overlap`` bytes, rounded to code points and to the start of a word
-    where the overlap holds one. Every piece goes on beyond the one before it.
+    Consecutive pieces share ``overlap`` bytes, less what is needed to start at a code point, behind the
+    start of the piece before and within the limit. Every piece goes on beyond the one before it.
     """
     raw = text.encode("utf-8", "surrogatepass")
     n = len(raw)
@@ -60,14 +60,11 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         if end >= n:
             return out
         back = int(starts[np.searchsorted(starts, max(end - overlap, at + 1), "left")])
-        i = int(np.searchsorted(kinds[2], back, "left"))
-        if overlap and i < len(kinds[2]) and kinds[2][i] < end:
-            back = int(kinds[2][i])
         done = end
-        at = min(back, end) if overlap > 0 else end
         step = int(starts[np.searchsorted(starts, done, "right")])  # the next piece must reach beyond this one
-        if step - at > limit:
-            at = end
+        if step - back > limit:
+            back = int(starts[np.searchsorted(starts, step - limit, "left")])
+        at = min(back, end)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,6 +125,17 @@ def test_pieces_hold_the_limit_and_lose_nothing(text, limit, overlap):
         assert c <= b < e and b - c <= overlap
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab.,; é漢🧊", max_size=300), st.integers(1, 40), st.integers(0, 39))
+def test_pieces_share_the_overlap(text, limit, overlap):
+    overlap = min(overlap, limit - 1)
+    starts = [len(text[:k].encode()) for k in range(len(text) + 1)]
+    ranges = splitting.cut_points(text, limit, overlap)
+    for (a, b), (c, _) in zip(ranges, ranges[1:], strict=False):
+        step = min((x for x in starts if x > b), default=b)
+        assert c == min(b, *(x for x in starts if x > a and x >= b - overlap and x >= step - limit))
+
+
 def test_pieces_end_at_sentences_and_overlap():
     text = " ".join(f"Sentence number {i} ends here." for i in range(40))
     got = splitting.cut_points(text, 100, 30)
