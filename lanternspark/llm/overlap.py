@@ -1,18 +1,24 @@
 """Problem 2: records of evaluation splits that also stand, exactly or almost, in the training split.
 
-Both sides are first collapsed to classes of equal word sets. Evaluation classes are sharded; for each
-shard an Aho-Corasick automaton is built over the words of its normalised texts, each as a passage with
-its bounds, and every training text is scanned by it. Word sets have no order, so passages longer than a
-word would lose reordered records. A record becomes a candidate when one of its rarest words is matched
-(a pair alike enough must share one of them); the matched intervals are then merged into the record's
-coverage, the number of its words they cover, from which the exact similarity follows.
+Every evaluation record, normalised to its words, is cut into passages: consecutive runs of words, one
+around each of its rarest words and one more of them than words may be lost. A shard of records gives one
+Aho-Corasick automaton over all its passages, which is built once, broadcast, and scans the training
+texts where they lie. A matched passage is an interval of the running text; it grows as long as the text
+goes on as the record does, and the intervals of a record are merged into its coverage. Coverage that
+reaches the threshold settles the pair. Where it doesn't, the sets of words are compared.
+
+Similarity is of word sets, so a record whose words were reordered, or that got words in between, may keep
+no passage whole. For these the automaton also holds each rarest word as a passage of its own: two sets
+that are alike enough share a word that is early in both by rarity, and how early is known from the sizes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -20,55 +26,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternspark.llm.words import words
-from lanternspark.session import cut
+from lanternspark.session import cut, rows_of, spread
 
-#: Records in an automaton and texts in a task; together they bound a worker's memory.
-SHARD, SLICE = 50_000, 20_000
+#: Words of the records of one automaton; records the driver takes at once; texts whose result a task keeps.
+SHARD_WORDS, BLOCK_RECORDS, KEPT = 1 << 19, 20_000, 1 << 14
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys, sets = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = sorted(set(words(text)))
-            if own and i is not None:
-                line = " ".join(own)
-                ids.append(i)
-                keys.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
-                sets.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.string())], names=["id", "class_key", "line"])
+def class_key(own: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(own).encode("utf-8", "surrogatepass"))
+
+
+def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching intervals as one each, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
 
+class Shard:
+    """The records of one shard and the automaton over their passages."""
 
-def _scan(threshold: float):
-    def run(key: tuple, evals: pa.Table, texts: pa.Table) -> pa.Table:
+    def __init__(self, records: list[tuple[bytes, list[str]]], threshold: float):
         import ahocorasick
 
-        empty = pa.table({"eval_class": pa.array([], pa.binary()), "text_class": pa.array([], pa.binary()), "n_common": pa.array([], pa.int64()), "n_either": pa.array([], pa.int64())})
-        if not evals.num_rows or not texts.num_rows:
-            return empty
-        number: dict[str, int] = {}
-        records, leads = [], defaultdict(list)
-        for n, ranked in enumerate(evals["ranked"].to_pylist()):
-            own = [number.setdefault(w, len(number)) for w in ranked]  # rarest first
-            records.append(frozenset(own))
-            for w in own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]:
-                leads[w].append(n)
-        automaton = ahocorasick.Automaton()
-        for word, n in number.items():
-            automaton.add_word(f" {word} ", n)
-        automaton.make_automaton()
-        out: tuple[list, ...] = ([], [], [], [])
-        names = evals["class_key"].to_pylist()
-        for name, line in zip(texts["class_key"].to_pylist(), texts["line"].to_pylist(), strict=True):
-            matched = {n for _, n in automaton.iter(f" {line} ")}
-            total = line.count(" ") + 1
-            for r in {r for w in matched if w in leads for r in leads[w]}:
-                covered = len(matched & records[r])
-                either = total + len(records[r]) - covered
-                if covered >= threshold * either - 1e-9:
-                    for column, value in zip(out, (names[r], name, covered, either), strict=True):
+        self.keys, self.threshold = [k for k, _ in records], threshold
+        df = Counter(w for _, own in records for w in set(own))
+        #: Words from the rarest on; those of no record are rarer still.
+        self.order = {w: n for n, (w, _) in enumerate(sorted(df.items(), key=lambda x: (x[1], x[0])), 1)}
+        self.records = [own for _, own in records]
+        self.sets, self.firsts = [], []
+        runs: dict[str, dict] = {}
+        ones: dict[str, dict] = {}
+        for n, own in enumerate(self.records):
+            place: dict[str, int] = {}
+            for k, w in enumerate(own):
+                place.setdefault(w, k)
+            self.sets.append(frozenset(place))
+            #: How many of the first k words stand there for the first time.
+            self.firsts.append([0, *accumulate(int(place[w] == k) for k, w in enumerate(own))])
+            size = len(place)
+            lead = sorted(place, key=self.order.__getitem__)[: size - math.ceil(threshold * size - 1e-9) + 1]
+            at = sorted((place[w], rank) for rank, w in enumerate(lead))
+            cuts = [0, *(p for p, _ in at[1:]), len(own)]
+            for (p, rank), a, b in zip(at, cuts, cuts[1:], strict=False):
+                runs.setdefault(" ".join(own[a:b]), {}).setdefault((size, rank), []).append((n, a))
+                ones.setdefault(own[p], {}).setdefault((size, rank), []).append(n)
+        #: Of each passage its length in characters and words, and its records as runs and as single words.
+        self.passages = [(len(p) + 2, p.count(" ") + 1, p, [*runs.get(p, {}).items()], [*ones.get(p, {}).items()]) for p in runs.keys() | ones.keys()]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, passage in enumerate(self.passages):
+            self.automaton.add_word(f" {passage[2]} ", n)
+        self.automaton.make_automaton()
+
+    def scan(self, text: list[str]) -> list[tuple[int, int, int, int]]:
+        """(record, covered, common, either) of every record alike enough to the text."""
+        have = set(text)
+        size, t = len(have), self.threshold
+        ranked = sorted(have, key=lambda w: self.order.get(w, 0))
+        early = {w: k for k, w in enumerate(ranked)}
+        need = lru_cache(None)(lambda n: math.ceil(t / (1 + t) * (n + size) - 1e-9))  # words that sets of these sizes must share
+        begins = {c: k for k, c in enumerate(accumulate((len(w) + 1 for w in text), initial=0))}
+        intervals: dict[int, list[tuple[int, int]]] = {}
+        loose: set[int] = set()
+        for end, n in self.automaton.iter(f" {' '.join(text)} "):
+            chars, length, passage, runs, ones = self.passages[n]
+            for (own, rank), where in runs:
+                if rank <= own - need(own):
+                    start = begins[end + 1 - chars]
+                    for r, offset in where:
+                        intervals.setdefault(r, []).append(self._grown(text, r, start, offset, length))
+            for (own, rank), where in ones:
+                if rank <= own - need(own) and early[passage] <= size - need(own):
+                    loose.update(where)
+        out = []
+        for r in sorted(intervals.keys() | loose):
+            first = self.firsts[r]
+            covered = sum(first[b] - first[a] for a, b in merged(intervals.get(r, [])))
+            own = len(self.sets[r])
+            if covered >= need(own) or len(have & self.sets[r]) >= need(own):
+                common = len(have & self.sets[r])
+                out.append((r, covered, common, own + size - common))
+        return out
+
+    def _grown(self, text: list[str], r: int, start: int, offset: int, length: int) -> tuple[int, int]:
+        """The stretch of the record that the running text has around a matched passage."""
+        own = self.records[r]
+        a, k = offset, start
+        while a and k and own[a - 1] == text[k - 1]:
+            a, k = a - 1, k - 1
+        b, k = offset + length, start + length
+        while b < len(own) and k < len(text) and own[b] == text[k]:
+            b, k = b + 1, k + 1
+        return a, b
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, keys, lines = [], [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = words(text)
+            if own and i is not None:
+                ids.append(i)
+                keys.append(class_key(own))
+                lines.append(" ".join(own))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(lines, pa.string())], names=["id", "class_key", "line"])
+
+
+LINKS = "eval_class binary, train_id bigint, covered bigint, n_common bigint, n_either bigint"
+
+
+def _scan(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = shared.value
+        kept: dict[str, list] = {}  # a text that comes again is scanned once
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = [c.split()[0] for c in LINKS.split(", ")]
+        for batch in batches:
+            out: tuple[list, ...] = tuple([] for _ in types)
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = words(text)
+                if not own or i is None:
+                    continue
+                line = " ".join(own) if len(own) < 256 else ""
+                found = kept.get(line) if line else None
+                if found is None:
+                    found = shard.scan(own)
+                    if line:
+                        if len(kept) >= KEPT:
+                            kept.clear()
+                        kept[line] = found
+                for r, *numbers in found:
+                    for column, value in zip(out, (shard.keys[r], i, *numbers), strict=True):
                         column.append(value)
-        return pa.table(dict(zip(empty.column_names, (pa.array(c, f.type) for c, f in zip(out, empty.schema, strict=True)), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     return run
 
@@ -78,36 +172,60 @@ class SplitOverlap:
 
     Both tables are read as (id, text); extra columns are ignored. Null ids and texts without any word are
     no case, a row delivered twice counts once, an id with several texts is compared with each, and an
-    empty table gives an empty result.
+    empty table gives an empty result. Training texts are scanned in place, once for each shard of
+    SHARD_WORDS words of evaluation records; only matches are shuffled.
     """
 
     def __init__(self, evals: DataFrame, train: DataFrame, eval_id: str, train_id: str, text_col: str, threshold: float = 0.8):
         self.threshold = threshold
-        self.evals, self.train = self._read(evals, eval_id, text_col), self._read(train, train_id, text_col)
-
-    @staticmethod
-    def _read(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-        return cut(rows.mapInArrow(_word_sets, "id bigint, class_key binary, line string").distinct())
+        read = lambda df, i: df.select(F.col(i).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+        self.evals = cut(read(evals, eval_id).mapInArrow(_classes, "id bigint, class_key binary, line string").distinct())
+        self.train = spread(read(train, train_id))
+
+    def _shards(self) -> Iterator[Shard]:
+        block: list[tuple[bytes, list[str]]] = []
+        size = 0
+        for row in rows_of(self.evals.select("class_key", "line").distinct(), BLOCK_RECORDS):
+            own = row.line.split(" ")
+            if block and size + len(own) > SHARD_WORDS:
+                yield Shard(block, self.threshold)
+                block, size = [], 0
+            block.append((bytes(row.class_key), own))
+            size += len(own)
+        if block:
+            yield Shard(block, self.threshold)
 
     def links(self) -> DataFrame:
-        """(eval_class, text_class, n_common, n_either) of every alike pair of classes."""
-        evals, texts = self.evals.select("class_key", "line").distinct(), self.train.select("class_key", "line").distinct()
-        counts = texts.select(F.explode(F.split("line", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-        ranked = evals.select("class_key", F.explode(F.split("line", " ")).alias("word")).join(counts, "word", "left")
-        ranked = ranked.groupBy("class_key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("r"))
-        ranked = cut(ranked.select("class_key", F.col("r.word").alias("ranked")))
-        texts = cut(texts)
-        shards, slices = (max(1, math.ceil(df.count() / size)) for df, size in ((ranked, SHARD), (texts, SLICE)))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = ranked.withColumn("shard", F.pmod(F.xxhash64("class_key"), F.lit(shards)).cast("int")).withColumn("slice", every(slices))
-        right = texts.withColumn("slice", F.pmod(F.xxhash64("class_key"), F.lit(slices)).cast("int")).withColumn("shard", every(shards))
-        pairs = left.groupBy("shard", "slice").cogroup(right.groupBy("shard", "slice"))
-        return pairs.applyInArrow(_scan(self.threshold), "eval_class binary, text_class binary, n_common bigint, n_either bigint")
+        """(eval_class, train_id, covered, n_common, n_either) of every training text alike enough to a class.
+
+        ``covered`` is the number of the record's words in the merged intervals of the running text,
+        ``n_common`` that of all words both have; it is larger where words stand alone or in another order.
+        """
+        spark = self.train.sparkSession
+        out = spark.createDataFrame([], LINKS)
+        for shard in self._shards():
+            out = out.unionByName(self.train.mapInArrow(_scan(spark.sparkContext.broadcast(shard)), LINKS))
+        return out
+
+    def _classes(self) -> tuple[DataFrame, DataFrame]:
+        """Distinct (eval_class, train_id) of links, and (eval_id, eval_class)."""
+        return self.links().select("eval_class", "train_id").distinct(), self.evals.select(F.col("id").alias("eval_id"), F.col("class_key").alias("eval_class")).distinct()
 
     def pairs(self) -> DataFrame:
         """(eval_id, train_id) of every alike pair, copies expanded, once each."""
-        links = self.links().select("eval_class", "text_class")
-        out = links.join(self.evals.select(F.col("id").alias("eval_id"), F.col("class_key").alias("eval_class")), "eval_class")
-        out = out.join(self.train.select(F.col("id").alias("train_id"), F.col("class_key").alias("text_class")), "text_class")
-        return out.select("eval_id", "train_id").distinct()
+        links, evals = self._classes()
+        return links.join(evals, "eval_class").select("eval_id", "train_id").distinct()
+
+    def counts(self) -> DataFrame:
+        """(eval_id, n): how many training records each evaluation record is alike to, if any.
+
+        Copies aren't expanded: a class is counted once for all its records. Only ids with several
+        different texts have their own pairs listed, as one training record may be alike to two of them.
+        """
+        links, evals = self._classes()
+        links = cut(links)
+        twice = self.evals.groupBy("id").agg(F.count_distinct("class_key").alias("k")).where("k > 1").select(F.col("id").alias("eval_id"))
+        own = evals.join(links.groupBy("eval_class").agg(F.count("*").alias("n")), "eval_class")
+        one = own.join(twice, "eval_id", "left_anti").select("eval_id", "n")
+        some = evals.join(twice, "eval_id", "left_semi").join(links, "eval_class").select("eval_id", "train_id").distinct()
+        return one.unionByName(some.groupBy("eval_id").agg(F.count("*").alias("n")))

@@ -33,8 +33,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Per split and source of labeled: pairs found, records concerned, and all records."""
-    pairs = _overlap(spark, d).pairs().groupBy(F.col("eval_id").alias("qid")).agg(F.count("*").alias("n"))
-    rows = table(spark, d, "labeled").select("qid", "split_name", "source").join(pairs, "qid", "left")
+    counts = _overlap(spark, d).counts().withColumnRenamed("eval_id", "qid")
+    rows = table(spark, d, "labeled").select("qid", "split_name", "source").join(counts, "qid", "left")
     return rows.groupBy("split_name", "source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.count("n").alias("n_overlapping"), F.count("*").alias("n_records"))
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from lanternspark.llm import near_duplicates as nd
 from lanternspark.llm.copies import HiddenCopies
-from lanternspark.llm.overlap import SplitOverlap
+from lanternspark.llm.overlap import Shard, SplitOverlap, class_key, merged
 from lanternspark.llm.words import Fingerprints, shingles, words
 
 DOCS = "id bigint, text string, rep string, shingles int"
@@ -106,12 +106,11 @@ EVAL = "qid bigint, query string, line string"
 TRAIN = "pair_id bigint, query string, class_key string"
 
 
-@pytest.mark.parametrize("shard", [3, 50_000])
+@pytest.mark.parametrize("shard", [20, 500_000])
 def test_overlap_against_brute_force(frame, monkeypatch, shard):
     from lanternspark.llm import overlap
 
-    monkeypatch.setattr(overlap, "SHARD", shard)
-    monkeypatch.setattr(overlap, "SLICE", 2 * shard)
+    monkeypatch.setattr(overlap, "SHARD_WORDS", shard)
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(40)]
     train = [" ".join(rng.sample(vocab, rng.randint(1, 8))) for _ in range(150)]
@@ -122,9 +121,36 @@ def test_overlap_against_brute_force(frame, monkeypatch, shard):
     sets = lambda rows: {i: s for i, x in rows if (s := set(words(x)))}
     want = {(i, 1000 + j) for i, a in sets(enumerate(evals)).items() for j, b in sets(enumerate(train)).items() if len(a & b) >= 0.7 * len(a | b) - 1e-9}
     assert set(got) == want and len(got) == len(want) >= 30
+    n = {r.eval_id: r.n for r in SplitOverlap(e, t, "qid", "pair_id", "query", 0.7).counts().collect()}
+    assert n == {i: sum(a == i for a, _ in want) for i in {a for a, _ in want}}
     assert SplitOverlap(e.limit(0), t, "qid", "pair_id", "query", 0.7).pairs().count() == 0
 
 
+def shard_of(*texts, threshold=0.7):
+    return Shard([(class_key(words(t)), words(t)) for t in texts], threshold)
+
+
+def test_matched_intervals_are_merged():
+    assert merged([(4, 6), (0, 2), (1, 3), (3, 4), (8, 9)]) == [(0, 6), (8, 9)] and merged([]) == []
+    record = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    shard = shard_of(record)
+    # half of the record stands there twice: counted without merging it would be covered in full
+    half = words("alpha beta gamma delta epsilon x1 x2 x3 x4 x5 alpha beta gamma delta epsilon")
+    assert shard.scan(half) == []
+    ((_, covered, common, either),) = shard.scan(words("so " + record.replace("zeta", "zita")))
+    assert (covered, common, either) == (9, 9, 12)
+    # every other word reversed: no passage of two words is whole, the sets are equal
+    ((_, covered, common, either),) = shard.scan(words(record)[::-1])
+    assert covered < common == either == 10
+
+
+def test_a_lone_word_counts_for_the_sets_but_for_no_interval():
+    record = "one two three four five six seven eight nine ten"
+    text = "one x two three four five six seven eight nine ten"
+    ((_, covered, common, either),) = shard_of(record).scan(words(text))
+    assert common == 10 and either == 11 and covered <= common
+
+
 def test_copies_against_brute_force(frame):
     rng = random.Random(4)
     vocab = ["Red cat", "blue", "Ärger", "x 1", "x1", "??"]
