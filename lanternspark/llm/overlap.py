@@ -1,7 +1,7 @@
 """Problem 2: records of evaluation splits that also stand, exactly or almost, in the training split.
 
-Every evaluation record, normalised to its words, is cut into passages: consecutive runs of words, one
-around each of its rarest words and one more of them than words may be lost. A shard of records gives one
+Every evaluation record, normalised to its words, is cut into passages: consecutive runs of up to
+four words, one around each of its rarest words, so that there are more of them than words may be lost. A shard of records gives one
 Aho-Corasick automaton over all its passages, which is built once, broadcast, and scans the training
 texts where they lie. A matched passage is an interval of the running text; it grows as long as the text
 goes on as the record does, and the intervals of a record are merged into its coverage. Coverage that
@@ -30,6 +30,8 @@ from lanternspark.session import cut, rows_of, spread
 
 #: Words of the records of one automaton; records the driver takes at once; texts whose result a task keeps.
 SHARD_WORDS, BLOCK_RECORDS, KEPT = 1 << 19, 20_000, 1 << 14
+#: Words of a passage at most.
+RUN = 4
 
 
 def class_key(own: list[str]) -> bytes:
@@ -59,9 +61,21 @@ class Shard:
         self.order = {w: n for n, (w, _) in enumerate(sorted(df.items(), key=lambda x: (x[1], x[0])), 1)}
         self.records = [own for _, own in records]
         self.sets, self.firsts = [], []
-        runs: dict[str, dict] = {}
-        ones: dict[str, dict] = {}
-        for n, own in enumerate(self.records):
+        number: dict[str, int] = {}
+        #: Of each passage the records it is a run of, and those it is a rarest word of, by size and rank of that word.
+        self.runs: list[dict] = []
+        self.ones: list[dict] = []
+        #: Of each record its runs: (passage, offset).
+        self.cuts: list[list[tuple[int, int]]] = []
+
+        def passage(own: list[str]) -> int:
+            n = number.setdefault(" ".join(own), len(number))
+            if n == len(self.runs):
+                self.runs.append({})
+                self.ones.append({})
+            return n
+
+        for r, own in enumerate(self.records):
             place: dict[str, int] = {}
             for k, w in enumerate(own):
                 place.setdefault(w, k)
@@ -72,49 +86,66 @@ class Shard:
             lead = sorted(place, key=self.order.__getitem__)[: size - math.ceil(threshold * size - 1e-9) + 1]
             at = sorted((place[w], rank) for rank, w in enumerate(lead))
             cuts = [0, *(p for p, _ in at[1:]), len(own)]
-            for (p, rank), a, b in zip(at, cuts, cuts[1:], strict=False):
-                runs.setdefault(" ".join(own[a:b]), {}).setdefault((size, rank), []).append((n, a))
-                ones.setdefault(own[p], {}).setdefault((size, rank), []).append(n)
-        #: Of each passage its length in characters and words, and its records as runs and as single words.
-        self.passages = [(len(p) + 2, p.count(" ") + 1, p, [*runs.get(p, {}).items()], [*ones.get(p, {}).items()]) for p in runs.keys() | ones.keys()]
+            self.cuts.append([])
+            for (p, rank), low, high in zip(at, cuts, cuts[1:], strict=False):
+                self.ones[passage([own[p]])].setdefault((size, rank), []).append(r)
+                parts = math.ceil((high - low) / RUN)
+                marks = [low + (high - low) * k // parts for k in range(parts + 1)]
+                for a, b in zip(marks, marks[1:], strict=False):
+                    self.cuts[r].append((n := passage(own[a:b]), a))
+                    if a <= p < b:
+                        self.runs[n].setdefault((size, rank), []).append(r)
+        self.passages = [(p, len(p) + 2, p.count(" ") + 1) for p in number]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for n, passage in enumerate(self.passages):
-            self.automaton.add_word(f" {passage[2]} ", n)
+        for n, (p, _, _) in enumerate(self.passages):
+            self.automaton.add_word(f" {p} ", n)
         self.automaton.make_automaton()
 
     def scan(self, text: list[str]) -> list[tuple[int, int, int, int]]:
         """(record, covered, common, either) of every record alike enough to the text."""
         have = set(text)
         size, t = len(have), self.threshold
-        ranked = sorted(have, key=lambda w: self.order.get(w, 0))
-        early = {w: k for k, w in enumerate(ranked)}
+        early = {w: k for k, w in enumerate(sorted(have, key=lambda w: self.order.get(w, 0)))}
         need = lru_cache(None)(lambda n: math.ceil(t / (1 + t) * (n + size) - 1e-9))  # words that sets of these sizes must share
-        begins = {c: k for k, c in enumerate(accumulate((len(w) + 1 for w in text), initial=0))}
-        intervals: dict[int, list[tuple[int, int]]] = {}
-        loose: set[int] = set()
+        matched: dict[int, list[int]] = {}
         for end, n in self.automaton.iter(f" {' '.join(text)} "):
-            chars, length, passage, runs, ones = self.passages[n]
-            for (own, rank), where in runs:
+            matched.setdefault(n, []).append(end)
+        found: set[int] = set()
+        for n in matched:
+            for (own, rank), where in self.runs[n].items():
                 if rank <= own - need(own):
-                    start = begins[end + 1 - chars]
-                    for r, offset in where:
-                        intervals.setdefault(r, []).append(self._grown(text, r, start, offset, length))
-            for (own, rank), where in ones:
-                if rank <= own - need(own) and early[passage] <= size - need(own):
-                    loose.update(where)
+                    found.update(where)
+            if self.ones[n]:
+                at = early[self.passages[n][0]]
+                for (own, rank), where in self.ones[n].items():
+                    if rank <= own - need(own) and at <= size - need(own):
+                        found.update(where)
+        if not found:
+            return []
+        begins = {c: k for k, c in enumerate(accumulate((len(w) + 1 for w in text), initial=0))}
         out = []
-        for r in sorted(intervals.keys() | loose):
-            first = self.firsts[r]
-            covered = sum(first[b] - first[a] for a, b in merged(intervals.get(r, [])))
-            own = len(self.sets[r])
+        for r in sorted(found):
+            own, first = len(self.sets[r]), self.firsts[r]
+            covered = sum(first[b] - first[a] for a, b in merged(self._intervals(r, text, matched, begins)))
             if covered >= need(own) or len(have & self.sets[r]) >= need(own):
                 common = len(have & self.sets[r])
                 out.append((r, covered, common, own + size - common))
         return out
 
-    def _grown(self, text: list[str], r: int, start: int, offset: int, length: int) -> tuple[int, int]:
-        """The stretch of the record that the running text has around a matched passage."""
-        own = self.records[r]
+    def _intervals(self, r: int, text: list[str], matched: dict[int, list[int]], begins: dict[int, int]) -> list[tuple[int, int]]:
+        """The stretches of a record that the running text has around the record's matched passages."""
+        own, out = self.records[r], []
+        for n, offset in self.cuts[r]:
+            _, chars, length = self.passages[n]
+            for end in matched.get(n, ()):
+                out.append(self._grown(own, text, offset, begins[end + 1 - chars], length))
+                if out[-1] == (0, len(own)):
+                    return out
+        return out
+
+    @staticmethod
+    def _grown(own: list[str], text: list[str], offset: int, start: int, length: int) -> tuple[int, int]:
+        """A matched passage, longer as long as the text goes on as the record does."""
         a, k = offset, start
         while a and k and own[a - 1] == text[k - 1]:
             a, k = a - 1, k - 1
