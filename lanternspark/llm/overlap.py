@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,8 +29,8 @@ from lanternspark.session import cut, rows_of, spread
 
 #: Words of the records of one automaton; records the driver takes at once; texts whose result a task keeps.
 SHARD_WORDS, BLOCK_RECORDS, KEPT = 1 << 19, 20_000, 1 << 14
-#: Words of a passage at most.
-RUN = 4
+#: Words of a passage at most; how a word is spelled that no record has.
+RUN, OTHER = 4, "   "
 
 
 def class_key(own: list[str]) -> bytes:
@@ -59,6 +58,7 @@ class Shard:
         df = Counter(w for _, own in records for w in set(own))
         #: Words from the rarest on; those of no record are rarer still.
         self.order = {w: n for n, (w, _) in enumerate(sorted(df.items(), key=lambda x: (x[1], x[0])), 1)}
+        self.letters = {w: chr(0x4E00 + (n >> 12)) + chr(0x140 + (n >> 6 & 63)) + chr(0x100 + (n & 63)) for w, n in self.order.items()}
         self.records = [own for _, own in records]
         self.sets, self.firsts = [], []
         number: dict[str, int] = {}
@@ -95,50 +95,72 @@ class Shard:
                     self.cuts[r].append((n := passage(own[a:b]), a))
                     if a <= p < b:
                         self.runs[n].setdefault((size, rank), []).append(r)
-        self.passages = [(p, len(p) + 2, p.count(" ") + 1) for p in number]
+        self.lengths = [p.count(" ") + 1 for p in number]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for n, (p, _, _) in enumerate(self.passages):
-            self.automaton.add_word(f" {p} ", n)
+        for p, n in number.items():
+            self.automaton.add_word(self.spelled(p.split(" ")), n)
         self.automaton.make_automaton()
+        self._known: dict[tuple[int, int], tuple] = {}
+
+    def spelled(self, own: list[str]) -> str:
+        """Words in three characters each, of an alphabet for each place, so that matches lie on whole words."""
+        return "".join([self.letters.get(w, OTHER) for w in own])
+
+    def need(self, own: int, size: int) -> int:
+        """The words that sets of these sizes must share."""
+        t = self.threshold
+        return math.ceil(t / (1 + t) * (own + size) - 1e-9)
+
+    def _led(self, n: int, size: int) -> tuple[list[int], list[tuple[int, list[int]]]]:
+        """The records that passage ``n`` leads to in a text of ``size`` words: those it is a run of, and, by
+        how far back the word may stand in the text, those it is a rarest word of."""
+        key = (n, size)
+        led = self._known.get(key)
+        if led is None:
+            if len(self._known) >= 1 << 18:
+                self._known.clear()
+            soon = lambda own, rank: rank <= own - self.need(own, size)
+            whole = [r for (own, rank), where in self.runs[n].items() if soon(own, rank) for r in where]
+            lone = [(size - self.need(own, size), where) for (own, rank), where in self.ones[n].items() if soon(own, rank)]
+            led = self._known[key] = (whole, [x for x in lone if x[0] >= 0])
+        return led
 
     def scan(self, text: list[str]) -> list[tuple[int, int, int, int]]:
         """(record, covered, common, either) of every record alike enough to the text."""
         have = set(text)
-        size, t = len(have), self.threshold
-        early = {w: k for k, w in enumerate(sorted(have, key=lambda w: self.order.get(w, 0)))}
-        need = lru_cache(None)(lambda n: math.ceil(t / (1 + t) * (n + size) - 1e-9))  # words that sets of these sizes must share
+        size = len(have)
         matched: dict[int, list[int]] = {}
-        for end, n in self.automaton.iter(f" {' '.join(text)} "):
-            matched.setdefault(n, []).append(end)
+        for end, n in self.automaton.iter(self.spelled(text)):
+            matched.setdefault(n, []).append((end + 1) // 3)
         found: set[int] = set()
-        for n in matched:
-            for (own, rank), where in self.runs[n].items():
-                if rank <= own - need(own):
-                    found.update(where)
-            if self.ones[n]:
-                at = early[self.passages[n][0]]
-                for (own, rank), where in self.ones[n].items():
-                    if rank <= own - need(own) and at <= size - need(own):
+        early: dict[str, int] = {}
+        for n, ends in matched.items():
+            whole, lone = self._led(n, size)
+            found.update(whole)
+            if lone:
+                if not early:
+                    early = {w: k for k, w in enumerate(sorted(have, key=lambda w: self.order.get(w, 0)))}
+                at = early[text[ends[0] - 1]]
+                for limit, where in lone:
+                    if at <= limit:
                         found.update(where)
-        if not found:
-            return []
-        begins = {c: k for k, c in enumerate(accumulate((len(w) + 1 for w in text), initial=0))}
         out = []
         for r in sorted(found):
             own, first = len(self.sets[r]), self.firsts[r]
-            covered = sum(first[b] - first[a] for a, b in merged(self._intervals(r, text, matched, begins)))
-            if covered >= need(own) or len(have & self.sets[r]) >= need(own):
+            need = self.need(own, size)
+            covered = sum(first[b] - first[a] for a, b in merged(self._intervals(r, text, matched)))
+            if covered >= need or len(have & self.sets[r]) >= need:
                 common = len(have & self.sets[r])
                 out.append((r, covered, common, own + size - common))
         return out
 
-    def _intervals(self, r: int, text: list[str], matched: dict[int, list[int]], begins: dict[int, int]) -> list[tuple[int, int]]:
+    def _intervals(self, r: int, text: list[str], matched: dict[int, list[int]]) -> list[tuple[int, int]]:
         """The stretches of a record that the running text has around the record's matched passages."""
         own, out = self.records[r], []
         for n, offset in self.cuts[r]:
-            _, chars, length = self.passages[n]
+            length = self.lengths[n]
             for end in matched.get(n, ()):
-                out.append(self._grown(own, text, offset, begins[end + 1 - chars], length))
+                out.append(self._grown(own, text, offset, end - length, length))
                 if out[-1] == (0, len(own)):
                     return out
         return out
