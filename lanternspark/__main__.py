@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     command("serve", f("--index", required=True), f("--host", default="127.0.0.1"), f("--port", type=int, default=8443), f("--cert"), f("--key"), *ask)
     command("eval-suite", f("--data", required=True), f("--no-ablations", action="store_true"))
     command("eval-paraphrase", f("--index", required=True), f("--pairs", required=True), f("--max-jaccard", type=float, default=0.30), f("--retrieve", default="hybrid"))
-    command("eval-grounding", f("--index", required=True), f("--pairs", required=True), f("--ood-query", action="append", default=[]), f("--retrieve", default="hybrid"))
+    command("eval-grounding", f("--index", required=True), f("--pairs", required=True), f("--ood-query", action="append", default=[]), f("--min-score", type=float, default=0.25), f("--retrieve", default="hybrid"))
     command("smoke")
     return p
 
@@ -115,12 +115,14 @@ def main(argv: list[str] | None = None) -> int:
     labeled = tsv.load_labeled(spark, a.pairs, allow_empty=True)
     if a.command == "eval-paraphrase":
         report = suite.paraphrase(own, labeled, a.max_jaccard)
+        failed = report["recall_1"] < 1
     else:
         from lanternspark.functions.constants import OUT_OF_SCOPE
 
-        report = suite.grounding(own, labeled, _queries(spark, "", *(a.ood_query or OUT_OF_SCOPE[:10])))
+        report = suite.grounding(own, labeled, _queries(spark, "", *(a.ood_query or OUT_OF_SCOPE[:10])), GroundingConfig(min_score=a.min_score))
+        failed = any(v for k, v in report.items() if k.startswith("failed_"))
     print(format_report(report))
-    return 0
+    return int(failed)
 
 
 if __name__ == "__main__":

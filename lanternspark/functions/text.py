@@ -120,15 +120,15 @@ def split_paragraphs(text: Column) -> Column:
 
 
 def markdown_sections(text: Column) -> Column:
-    """[(heading, body)]: cut before every line that starts with one to six # and a space."""
+    """[(heading, body)], both sanitised: cut before every line that starts with one to six # and a space."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?md)^(?=#{1,6} )")
 
     def section(part: Column) -> Column:
         headed = F.rlike(part, F.lit(r"^#{1,6} "))
         line = F.when(headed, sanitize(F.regexp_replace(F.substring_index(part, "\n", 1), r"^#{1,6} ", ""))).otherwise("")
         body = F.when(~headed, part).when(F.instr(part, "\n") > 0, F.regexp_replace(part, r"(?d)^[^\n]*\n", "")).otherwise("")
-        return F.struct(line.alias("heading"), body.alias("body"))
+        return F.struct(line.alias("heading"), sanitize(body).alias("body"))
 
-    kept = F.filter(F.transform(parts, section), lambda s: (s["heading"] != "") | (sanitize(s["body"]) != ""))
+    kept = F.filter(F.transform(parts, section), lambda s: (s["heading"] != "") | (s["body"] != ""))
     whole = F.array(F.struct(F.lit("").alias("heading"), sanitize(F.coalesce(text, F.lit(""))).alias("body")))
     return F.when(F.size(kept) == 0, whole).otherwise(kept)

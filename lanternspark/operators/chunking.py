@@ -75,10 +75,10 @@ def sections(raw: bytes) -> list[tuple[bytes, bytes]]:
     for part in _HEADING.split(raw):
         if re.match(rb"#{1,6} ", part):
             line, _, body = part.partition(b"\n")
-            out.append((tidy(line.lstrip(b"#")), body))
-        elif tidy(part):
-            out.append((b"", part))
-    return [s for s in out if s[0] or tidy(s[1])] or [(b"", tidy(raw))]
+            out.append((tidy(line.lstrip(b"#")), tidy(body)))
+        else:
+            out.append((b"", tidy(part)))
+    return [s for s in out if any(s)] or [(b"", tidy(raw))]
 
 
 def windows(raw: bytes, c: ChunkerConfig) -> list[bytes]:
@@ -197,17 +197,18 @@ def chunk_rows(docs: DataFrame, config: ChunkerConfig | DataFrame, key: str, tex
     """(key, pos, source, text): the chunks of every document in order.
 
     ``config`` is one for all, or a table by ``source`` whose row ``doc`` serves documents without their
-    own. A null source counts as ``doc``. Null and blank texts give no chunk. ``key`` keeps its type.
+    own, and the defaults of ChunkerConfig those of a table without that row. A null source counts as
+    ``doc``. Null and blank texts give no chunk. ``key`` keeps its type.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(source), F.lit("doc")).alias("source"))
     names = ("strategy", "max_chars", "overlap_chars", "min_chars", "prefer_word_break")
     if isinstance(config, ChunkerConfig):
         rows = rows.select("*", *(F.lit(getattr(config, n)).alias(n) for n in names))
     else:
-        table = config.select(F.col("source").alias("_s"), *names).dropDuplicates(["_s"])
-        other = table.where("_s = 'doc'").select(*(F.col(n).alias(f"_{n}") for n in names))
-        rows = rows.join(table, F.substring_index("source", "#", 1) == F.col("_s"), "left").crossJoin(F.broadcast(other))
-        rows = rows.select("key", "text", "source", *(F.coalesce(F.col(n), F.col(f"_{n}")).alias(n) for n in names))
+        table = config.groupBy(F.col("source").alias("_s")).agg(F.min(F.struct(*names)).alias("_own"))
+        other = table.where("_s = 'doc'").select(F.col("_own").alias("_doc"))  # a row at most
+        rows = rows.join(table, F.substring_index("source", "#", 1) == F.col("_s"), "left").join(F.broadcast(other), F.lit(True), "left")
+        rows = rows.select("key", "text", "source", *(F.coalesce(F.col(f"_own.{n}"), F.col(f"_doc.{n}"), F.lit(getattr(ChunkerConfig(), n))).alias(n) for n in names))
     kind = dict(rows.dtypes)["key"]
     return rows.mapInArrow(_chunk, f"key {kind}, pos int, source string, text string")
 
@@ -220,9 +221,9 @@ def number(chunks: DataFrame, start_id: int = 0) -> DataFrame:
     rows = cut(chunks.repartitionByRange("key", "pos").sortWithinPartitions("key", "pos").withColumn("_at", F.monotonically_increasing_id()))
     rows = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
     counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    offset, base = [], start_id
+    first, base = [], start_id
     for part in sorted(counts):
-        offset += [F.lit(part), F.lit(base)]
+        first.append((part, base))
         base += counts[part]
-    first = F.create_map(*offset)[F.col("_part")] if offset else F.lit(start_id)
-    return rows.withColumn("id", (first + F.col("_in")).cast("bigint")).drop("_at", "_part", "_in")
+    offsets = F.broadcast(chunks.sparkSession.createDataFrame(first, "_part bigint, _first bigint"))  # a row a partition
+    return rows.join(offsets, "_part").withColumn("id", F.col("_first") + F.col("_in")).drop("_at", "_part", "_in", "_first")

@@ -22,29 +22,55 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix, places) of the vectors of the right size; others are left out."""
+    """(matrix, places) of the vectors of the right size; null ones, and those with a null in them, are left out."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if not column.null_count and not column.values.null_count and (sizes == dim).all():  # as they lie
+        flat = column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()]
+        return flat.reshape(-1, dim).astype(np.float64), np.arange(len(column))
     rows = column.to_pylist()
     places = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
     return np.array([rows[i] for i in places], np.float64).reshape(-1, dim), np.array(places, np.int64)
 
 
+def keep(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, id, score) triples each row's k best by 9 digits, ties to the smaller id."""
+    order = np.lexsort((ids, -np.round(scores, 9), row))
+    rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    order = order[rank < k]
+    return row[order], ids[order], scores[order]
+
+
+class Best:
+    """The k best of every query so far; only scores that reach a query's k-th best are ever sorted."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        keys = np.round(scores, 9)
+        if scores.shape[1] > self.k:
+            least = scores.shape[1] - self.k
+            self.floor = np.maximum(self.floor, np.partition(keys, least, axis=1)[:, least])
+        row, col = np.nonzero(keys >= self.floor[:, None])
+        self.held = keep(*(np.concatenate(x) for x in zip(self.held, (row, ids[col], scores[row, col]), strict=True)), self.k)
+        full = np.flatnonzero(np.bincount(self.held[0], minlength=len(self.floor)) == self.k)
+        last = np.searchsorted(self.held[0], full, "right") - 1
+        self.floor[full] = np.maximum(self.floor[full], np.round(self.held[2][last], 9))
+
+
 def _search(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value
-        best_s = np.full((len(qids), k), -np.inf)
-        best_i = np.full((len(qids), k), np.iinfo(np.int64).max)
+        best = Best(len(qids), k)
+        step = max(16, SCORES // max(1, len(qids)))
         for batch in batches:
             rows, places = vectors(batch.column(1), matrix.shape[1])
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[places] if len(places) else np.empty(0, np.int64)
-            step = max(16, SCORES // max(1, len(qids)))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[places].astype(np.int64) if len(places) else np.empty(0, np.int64)
             for a in range(0, len(rows), step):
-                score = np.round(matrix @ unit(rows[a : a + step]).T, 12)
-                here = np.concatenate([best_s, score], axis=1)
-                names = np.concatenate([best_i, np.broadcast_to(ids[a : a + step].astype(np.int64), score.shape)], axis=1)
-                order = np.lexsort((names, -np.round(here, 9)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(here, order, 1), np.take_along_axis(names, order, 1)
-        q, at = np.nonzero(np.isfinite(best_s))
-        yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(best_i[q, at]), pa.array(best_s[q, at])], names=["qid", "id", "score"])
+                best.add(np.round(matrix @ unit(rows[a : a + step]).T, 12), ids[a : a + step])
+        row, ids, scores = best.held
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids), pa.array(scores)], names=["qid", "id", "score"])
 
     return run
 

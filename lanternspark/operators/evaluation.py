@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternspark.functions.constants import NO_EVIDENCE_ID
-from lanternspark.functions.similarity import jaccard, keyword_overlap, lcs_ratio, ngram_coverage
+from lanternspark.functions.similarity import keyword_overlap, ngram_coverage
 from lanternspark.functions.text import content_tokens, is_dont_know, normalize_query
+from lanternspark.operators.closest import closest
 
 
 def overlapping(evals: DataFrame, train: DataFrame, column: str = "query") -> DataFrame:
@@ -49,9 +50,9 @@ class LeakLimits:
 def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: LeakLimits = LeakLimits()) -> DataFrame:
     """(qid, rule, value) of every integrity rule that a hard query breaks.
 
-    Pairs of a hard and a training query are found by shared content tokens: without one, both
-    similarities are 0, but 1 if neither query has any content token, which the existence of such a
-    training query settles. The longest common subsequence is computed for the pairs only.
+    Of similarities to training queries only the highest counts, so no pairs are listed (see ``closest``).
+    If neither query has any content token both similarities are 1, which the existence of such a training
+    query settles.
     """
     gold = chunks.select(F.col("id").alias("gold_id"), F.col("text").alias("_t"))
     own = hard.select("qid", "query", "gold_id", content_tokens(F.col("query")).alias("q"))
@@ -62,19 +63,8 @@ def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: Lea
     every = train.select(F.col("query").alias("tq"), F.col("pos_id"), content_tokens(F.col("query")).alias("t"))
     wordless = every.where(F.size("t") == 0).limit(1).select(F.lit(1.0).alias("s"), F.lit(1.0).alias("j"))
     alike = own.where(F.size("q") == 0).select("qid").crossJoin(F.broadcast(wordless))
-    other = every.where(F.size("t") > 0).distinct()
-    other = other.withColumn("tid", F.xxhash64("tq", "pos_id"))
-    pairs = own.select("qid", F.explode(F.array_distinct("q")).alias("w")).join(other.select("tid", F.explode(F.array_distinct("t")).alias("w")), "w").select("qid", "tid").distinct()
-    pairs = pairs.join(own.select("qid", "q"), "qid").join(other.select("tid", "t"), "tid")
-
-    @F.pandas_udf("double")
-    def lcs(a, b):
-        import pandas as pd
-
-        return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    scored = pairs.select("qid", lcs("q", "t").alias("s"), jaccard(F.col("q"), F.col("t")).alias("j"))
-    worst = scored.unionByName(alike).groupBy("qid").agg(F.max("s").alias("s"), F.max("j").alias("j"))
+    other = every.where(F.size("t") > 0)
+    worst = closest(own, other, limits.sequence, limits.jaccard).unionByName(alike).groupBy("qid").agg(F.max("s").alias("s"), F.max("j").alias("j"))
     long_ = lambda c: F.explode(F.filter(F.array_distinct(c), lambda x: F.octet_length(x) >= limits.token_bytes)).alias("w")
     same = own.select("qid", "gold_id", long_("q")).join(other.select(F.col("pos_id").alias("gold_id"), long_("t")).distinct(), ["gold_id", "w"])
     same = same.groupBy("qid").agg(F.countDistinct("w").cast("double").alias("value"))
@@ -91,9 +81,9 @@ def hard_leaks(hard: DataFrame, train: DataFrame, chunks: DataFrame, limits: Lea
     return out
 
 
-def ranked_real(hits: DataFrame, k: int) -> DataFrame:
-    """Hits without the sentinel, ranked anew, the first k."""
-    order = Window.partitionBy("qid").orderBy("hit_rank", "id")
+def ranked_real(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    """Hits without the sentinel, ranked anew for each query and value of ``by``, the first k."""
+    order = Window.partitionBy("qid", *by).orderBy("hit_rank", "id")
     return hits.where(F.col("id") != NO_EVIDENCE_ID).withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= k)
 
 
@@ -116,7 +106,7 @@ def refusal_metrics(answered: DataFrame) -> DataFrame:
     return answered.agg(F.count("*").alias("n"), rate(idk, "idk_rate"), rate(empty, "empty_used_rate"), rate(idk & empty, "pass_rate"), F.count_if(~(idk & empty)).alias("n_failed"))
 
 
-def grounding_metrics(answered: DataFrame, labeled: DataFrame) -> DataFrame:
+def grounding_metrics(answered: DataFrame, labeled: DataFrame, *by: str) -> DataFrame:
     """Answer and full-pass rates over all queries; validity, gold citations and illegal ones over answers."""
     rows = answered.join(labeled.select("qid", "gold_id"), "qid")
     given = ~F.col("refused")
@@ -125,7 +115,7 @@ def grounding_metrics(answered: DataFrame, labeled: DataFrame) -> DataFrame:
     illegal = F.size("check.illegal_ids") > 0
     over = lambda c, name: F.coalesce(F.avg(F.when(given, c.cast("double"))), F.lit(0.0)).alias(name)
     full = given & ok & F.coalesce(cites_gold, F.lit(False)) & ~illegal
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.coalesce(F.avg(given.cast("double")), F.lit(0.0)).alias("answer_rate"),
         over(ok, "validator_ok_rate"),

@@ -30,6 +30,8 @@ class GroundingConfig:
 
 
 DISTINCTIVE = 5  # bytes from which a missing query token blocks the lexical way
+#: Keys that the sentinel's hits, a tenth of all, are spread over when they get its text.
+SENTINEL_SALTS = 64
 
 
 def answerable(query_tokens: Column, hit_id: Column, score: Column, is_cosine: Column, passage_tokens: Column, c: GroundingConfig = GroundingConfig()) -> Column:
@@ -49,10 +51,14 @@ def answerable(query_tokens: Column, hit_id: Column, score: Column, is_cosine: C
 def with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits (qid, id, …) with (source, text, passage_tokens) of their chunk, or the fixed placeholder.
 
-    A chunk is tokenised once, however many hits name it; unused columns are pruned before the join.
+    A chunk is tokenised once, however many hits name it; unused columns are pruned before the join. The
+    sentinel, which very many hits name, stands there once for each of SENTINEL_SALTS keys.
     """
-    own = chunks.select("id", "source", "text", content_tokens(F.col("text")).alias("passage_tokens"), F.lit(True).alias("_there"))
-    rows = hits.join(own, "id", "left")
+    reserved = F.coalesce(F.col("id") == C.NO_EVIDENCE_ID, F.lit(False))
+    salts = F.when(reserved, F.sequence(F.lit(0), F.lit(SENTINEL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    own = chunks.select("id", F.explode(salts).alias("_salt"), "source", "text", content_tokens(F.col("text")).alias("passage_tokens"), F.lit(True).alias("_there"))
+    salted = hits.withColumn("_salt", F.when(reserved, F.pmod(F.hash("qid"), F.lit(SENTINEL_SALTS))).otherwise(0))
+    rows = salted.join(own, ["id", "_salt"], "left").drop("_salt")
     gone = F.col("_there").isNull()
     rows = rows.withColumn("passage_tokens", F.when(gone, content_tokens(F.lit(C.MISSING_TEXT))).otherwise(F.col("passage_tokens")))
     return rows.withColumn("source", F.when(gone, C.MISSING_SOURCE).otherwise(F.col("source"))).withColumn("text", F.when(gone, C.MISSING_TEXT).otherwise(F.col("text"))).drop("_there")
@@ -70,16 +76,21 @@ def refuses_no_evidence(hits: Column, answerable_ids: Column) -> Column:
     return (F.size(hits) > 0) & (F.try_element_at(hits, F.lit(1))["id"] == C.NO_EVIDENCE_ID) & (F.size(answerable_ids) == 0)
 
 
-def collect(rows: DataFrame, queries: DataFrame, c: GroundingConfig = GroundingConfig()) -> DataFrame:
+def collect(rows: DataFrame, queries: DataFrame, c: GroundingConfig = GroundingConfig(), by: tuple[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(qid, query, candidates, used) from gated hits: one row per query, its candidates in rank order and
-    the first few answerable ones. Queries without a hit have empty arrays."""
+    the first few answerable ones. Queries without a hit have empty arrays. ``by`` is a column of
+    the hits with its values, such as the modes: each query then has a row for each of them."""
     hit = F.struct("hit_rank", "id", "score", "source", "text", "score_is_cosine", "is_answerable")
-    per = rows.groupBy("qid").agg(F.array_sort(F.collect_list(hit)).alias("all"))
+    keys = ["qid", *((by[0],) if by else ())]
+    per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("all"))
     strip = lambda h: F.struct(h["id"].alias("id"), h["score"].cast("double").alias("score"), h["source"].alias("source"), h["text"].alias("text"), h["score_is_cosine"].alias("score_is_cosine"))
     empty = F.array().cast(f"array<{HIT}>")
     used = F.slice(F.filter("all", lambda h: h["is_answerable"]), 1, c.max_context_chunks)
-    out = queries.select("qid", "query").join(per, "qid", "left")
-    return out.select("qid", "query", F.coalesce(F.transform("all", strip), empty).alias("candidates"), F.coalesce(F.transform(used, strip), empty).alias("used"))
+    asked = queries.select("qid", "query")
+    if by:
+        asked = asked.withColumn(by[0], F.explode(F.array(*map(F.lit, by[1]))))
+    out = asked.join(per, keys, "left")
+    return out.select(*keys, "query", F.coalesce(F.transform("all", strip), empty).alias("candidates"), F.coalesce(F.transform(used, strip), empty).alias("used"))
 
 
 def extractive_answer(used: Column) -> Column:
@@ -174,9 +185,13 @@ def user_content(query: Column, used: Column) -> Column:
 
 
 def answers(collected: DataFrame, c: GroundingConfig = GroundingConfig()) -> DataFrame:
-    """(qid, query, candidates, used) + (refused, mode, answer, check): refusals and extractive answers."""
+    """``collected`` + (refused, no_evidence, mode, answer, check): refusals and extractive answers.
+
+    ``no_evidence`` only reports that the sentinel came first and nothing was answerable.
+    """
     empty = F.size("used") == 0
     rows = collected.withColumn("refused", empty).withColumn("mode", F.when(empty, "refuse").otherwise("extractive"))
+    rows = rows.withColumn("no_evidence", refuses_no_evidence(F.col("candidates"), allowed_ids(F.col("used"))))
     rows = rows.withColumn("answer", extractive_answer(F.col("used")))
     return rows.withColumn("check", validate(F.col("answer"), F.col("used"), c))
 
@@ -190,7 +205,7 @@ def finalize(collected: DataFrame, c: GroundingConfig = GroundingConfig()) -> Da
     said = F.concat(F.lit("model failed grounding ("), F.col("_m.reason"), F.lit("); used extractive fallback"))
     check = F.when(own, F.col("_m")).otherwise(F.when(fell, F.col("check").withField("reason", said)).otherwise(F.col("check")))
     return rows.select(
-        "qid", "query", "candidates", "used",
+        *(c for c in collected.columns if c != "model_text"), "no_evidence",
         F.when(own, is_dont_know(text)).otherwise(F.col("refused")).alias("refused"),
         F.when(own, "generated").when(fell, "extractive_fallback").otherwise(F.col("mode")).alias("mode"),
         F.when(own, text).otherwise(F.col("answer")).alias("answer"),

@@ -1,8 +1,11 @@
 """BM25: postings and document frequencies as aggregates, and top-k search in one pass over the documents.
 
 A common term is in most documents and most queries, so joining queries to postings would make nearly
-every pair a row. Search sends the stated queries in blocks of bounded size to the documents instead; a
-task adds up scores for some documents at a time and keeps only its k best of each query.
+every pair a row. Search sends the stated queries in blocks of bounded size to the documents instead. A
+task turns its documents into postings, a segment of bounded size at a time, and takes each query's
+terms from the rarest on: once what the other terms can add at most is less than the query's k-th best
+score so far, no further document can come in, and the other terms are only looked up for those that are
+still in the running. So common terms cost nothing but for the few documents that rare ones have found.
 """
 
 from __future__ import annotations
@@ -18,16 +21,22 @@ from pyspark.sql import functions as F
 
 from lanternspark.functions.text import NO_EVIDENCE_ID, tokens
 from lanternspark.operators.embedders import simple_tokens
-from lanternspark.session import rows_of, spread
+from lanternspark.session import cut, rows_of, spread
 
 K1, B = 1.2, 0.75
-#: Queries that go to the workers at a time, and scores a task holds at a time.
-QUERY_BLOCK, SCORES = 8192, 1 << 22
+#: Queries that go to the workers at a time, and tokens of the documents a task holds at a time.
+QUERY_BLOCK, SEGMENT = 1 << 16, 1 << 21
+#: What scores that count as equal may differ by.
+SLACK = 1e-8
 
 
 def store(chunks: DataFrame) -> DataFrame:
-    """(id, source, text): the chunk store, rows delivered twice once; null ids are dropped."""
-    return chunks.select(F.col("id").cast("bigint").alias("id"), "source", "text").where("id is not null").dropDuplicates(["id"])
+    """(id, source, text): the chunk store, rows delivered twice once; null ids are dropped.
+
+    Of an id with several texts or sources the least of (text, source) stays, nulls first.
+    """
+    rows = chunks.select(F.col("id").cast("bigint").alias("id"), F.struct("text", "source").alias("r")).where("id is not null")
+    return rows.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.source", "r.text")
 
 
 @dataclass
@@ -52,8 +61,10 @@ class Bm25:
         stats = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(length), F.lit(0.0)).alias("avgdl"))
         return cls(own, postings, stats)
 
-    def df(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+    def df(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df), of the given ``terms`` only; counted where the documents lie, before any shuffle."""
+        rows = self.docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        return (rows if terms is None else rows.join(terms, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("df"))
 
     @staticmethod
     def idf(n_docs: Column, df: Column) -> Column:
@@ -71,22 +82,22 @@ class Bm25:
         return rows.select("term", "id", (self.idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + size)).alias("w"))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, id, score, hit_rank): the k best with a score over 0, ties to the smaller id."""
+        """(qid, id, score, hit_rank): the k best with a score over 0, ties to the smaller id.
+
+        The documents are read once for the length statistics, once for the frequencies of all terms that
+        queries have, and once for each block of QUERY_BLOCK queries.
+        """
         spark = queries.sparkSession
         n_docs, avgdl = self.stats.first()
+        asked = queries.where("qid is not null").select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
+        frequencies = cut(self.df(asked))
         rows, out = spread(self.docs), None
         for block in _blocks(queries):
-            terms = sorted({t for _, q in block for t in q})
+            terms = spark.createDataFrame([(t,) for t in sorted({t for _, q in block for t in q})], "term string")
             #: A row a term of the block at most.
-            asked = spark.createDataFrame([(t,) for t in terms], "term string")
-            df = {r.term: r.df for r in self.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
-            lists: dict[str, list[tuple[int, float]]] = {}
-            for n, (_, q) in enumerate(block):
-                for t, qtf in q.items():
-                    if t in df:
-                        lists.setdefault(t, []).append((n, qtf * float(np.log(1 + (n_docs - df[t] + 0.5) / (df[t] + 0.5)))))
-            sent = (np.array([i for i, _ in block], np.int64), {t: (np.array([n for n, _ in v]), np.array([w for _, w in v])) for t, v in lists.items()}, float(avgdl))
-            found = rows.mapInArrow(_search(spark.sparkContext.broadcast(sent), k), "qid bigint, id bigint, score double")
+            df = {r.term: r.df for r in frequencies.join(terms, "term", "left_semi").collect()}
+            shared = spark.sparkContext.broadcast(Asked(block, df, n_docs, avgdl))
+            found = rows.mapInArrow(_search(shared, k), "qid bigint, id bigint, score double")
             out = found if out is None else out.unionByName(found)
         return top_k(out if out is not None else spark.createDataFrame([], "qid bigint, id bigint, score double"), k)
 
@@ -122,61 +133,119 @@ def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, Counter]]]:
         yield [*block.items()]
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, column) of each row's k best scores over 0, by 9 digits, ties to the smaller id."""
-    keys = np.round(scores, 9)
-    if scores.shape[1] > k:
-        least = -np.partition(-keys, k - 1, axis=1)[:, k - 1 : k]
-        row, col = np.nonzero((keys >= least) & (scores > 0))
-    else:
-        row, col = np.nonzero(scores > 0)
-    order = np.lexsort((ids[col], -keys[row, col], row))
-    row, col = row[order], col[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[rank < k], col[rank < k]
+class Asked:
+    """A block of queries: their terms as numbers with what each is worth, the most valuable first."""
+
+    def __init__(self, block: list[tuple[int, Counter]], df: dict[str, int], n_docs: int, avgdl: float):
+        self.number = {t: n for n, t in enumerate(sorted(df))}
+        self.avgdl = float(avgdl) or 1.0
+        idf = {t: float(np.log(1 + (n_docs - d + 0.5) / (d + 0.5))) for t, d in df.items()}
+        self.qids = np.array([i for i, _ in block], np.int64)
+        self.terms = [sorted(((qtf * idf[t], self.number[t]) for t, qtf in q.items() if t in df), reverse=True) for _, q in block]
+
+
+class Segment:
+    """The postings of some documents: of each term the places of its documents, in order, with their part of the score."""
+
+    def __init__(self, ids: list[int], texts: list[list[str]], asked: Asked):
+        self.ids = np.array(ids, np.int64)
+        length = np.array([len(t) for t in texts], np.int64)
+        flat = np.fromiter((asked.number.get(t, -1) for own in texts for t in own), np.int64, int(length.sum()))
+        doc = np.repeat(np.arange(len(texts)), length)
+        keys, tf = np.unique((flat * len(texts) + doc)[flat >= 0], return_counts=True)
+        term, self.doc = np.divmod(keys, max(1, len(texts)))
+        size = K1 * (1 - B + B * length / asked.avgdl)
+        self.part = tf * (K1 + 1) / (tf + size[self.doc])
+        self.starts = np.searchsorted(term, np.arange(len(asked.number) + 1))
+        #: The largest part of each term, 0 of those that aren't there.
+        self.most = np.zeros(len(asked.number))
+        some = np.flatnonzero(np.diff(self.starts))
+        if len(some):
+            self.most[some] = np.maximum.reduceat(self.part, self.starts[some])
+        self.score = np.zeros(len(texts))
+
+    def best(self, terms: list[tuple[float, int]], k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best documents, and others that are no worse than ``floor``, if any."""
+        score = self.score
+        live = sorted(((w * self.most[t], w, t) for w, t in terms if self.most[t]), reverse=True)
+        rest = sum(x for x, _, _ in live)
+        touched: list[np.ndarray] = []
+        n = 0
+        for bound, w, t in live:
+            if rest < floor - SLACK:
+                break
+            a, b = self.starts[t], self.starts[t + 1]
+            doc = self.doc[a:b]
+            score[doc] += w * self.part[a:b]
+            touched.append(doc)
+            rest -= bound
+            n += 1
+            if rest and b - a >= k:  # documents of this term alone already give a floor
+                floor = max(floor, float(np.partition(score[doc], len(doc) - k)[len(doc) - k]))
+        if not touched:
+            return np.empty(0, np.int64), np.empty(0)
+        running = np.unique(np.concatenate(touched)) if len(touched) > 1 else touched[0]
+        for bound, w, t in live[n:]:
+            running = running[score[running] + rest >= floor - SLACK]
+            a, b = self.starts[t], self.starts[t + 1]
+            at = np.searchsorted(self.doc[a:b], running)
+            at[at == b - a] = 0
+            there = self.doc[a:b][at] == running
+            score[running[there]] += w * self.part[a + at[there]]
+            rest -= bound
+            if len(running) >= k:
+                floor = max(floor, float(np.partition(score[running], len(running) - k)[len(running) - k]))
+        running = running[score[running] >= floor - SLACK]
+        found = score[running]
+        for doc in touched:
+            score[doc] = 0.0
+        return running, found
+
+
+def _keep(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by 9 digits, ties to the smaller id."""
+    order = np.lexsort((ids, -np.round(scores, 9)))[:k]
+    return ids[order], scores[order]
 
 
 def _search(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, lists, avgdl = shared.value
-        step = max(16, SCORES // max(1, len(qids)))
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        asked = shared.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def take(ids: list[int], texts: list[list[str]]) -> None:
+            own = Segment(ids, texts, asked)
+            for n, terms in enumerate(asked.terms):
+                before = held.get(n)
+                floor = float(before[1][-1]) if before is not None and len(before[0]) == k else 0.0
+                at, scores = own.best(terms, k, floor)
+                if len(at):
+                    found, scores = own.ids[at], scores
+                    if before is not None:
+                        found, scores = np.concatenate([before[0], found]), np.concatenate([before[1], scores])
+                    held[n] = _keep(found, scores, k)
+
+        ids: list[int] = []
+        texts: list[list[str]] = []
+        size = 0
         for batch in batches:
-            for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
-                ids = part.column(0).to_numpy()
-                found = [simple_tokens(t) for t in part.column(1).to_pylist()]
-                size = K1 * (1 - B + B * np.array([len(t) for t in found]) / (avgdl or 1.0))
-                where: dict[str, tuple[list[int], list[int]]] = {}
-                for n, own in enumerate(found):
-                    for t, tf in Counter(own).items():
-                        if t in lists:
-                            at, counts = where.setdefault(t, ([], []))
-                            at.append(n)
-                            counts.append(tf)
-                scores = np.zeros((len(qids), len(ids)))
-                for t, (at, counts) in where.items():
-                    rows, weights = lists[t]
-                    tf = np.array(counts)
-                    scores[np.ix_(rows, at)] += np.outer(weights, tf * (K1 + 1) / (tf + size[at]))
-                row, col = best_of(scores, ids, k)
-                held = [np.concatenate(x) for x in zip(held, (row, ids[col], scores[row, col]), strict=True)]
-                if len(held[0]) > 4 * k * len(qids) + 1024:
-                    held = _keep(held, k)
-        row, ids, scores = _keep(held, k)
-        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids), pa.array(scores)], names=["qid", "id", "score"])
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(simple_tokens(text))
+                size += len(texts[-1]) + 1
+                if size >= SEGMENT:
+                    take(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            take(ids, texts)
+        count = [len(v[0]) for v in held.values()]
+        qids = np.repeat(asked.qids[[*held]] if held else asked.qids[:0], count)
+        found, scores = ((np.concatenate(x) for x in zip(*held.values(), strict=True)) if held else (np.empty(0, np.int64), np.empty(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(found), pa.array(scores)], names=["qid", "id", "score"])
 
     return run
 
 
-def _keep(held: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Of (row, id, score) triples the k best of each row."""
-    row, ids, scores = held
-    order = np.lexsort((ids, -np.round(scores, 9), row))
-    rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-    order = order[rank < k]
-    return [row[order], ids[order], scores[order]]
-
-
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, hit_rank) by score to 9 digits, ties to the smaller id; Spark prunes each partition first."""
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")

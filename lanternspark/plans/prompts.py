@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternspark.functions import constants as C
 from lanternspark.operators.grounding import grounded_prompt, user_content
 
 FAMILIES = ("raw", "chatml", "llama3", "tinyllama")
+#: The tags that end a turn.
+STOPS = {"chatml": ("<|im_end|>",), "llama3": ("<|eot_id|>",), "tinyllama": ("</s>",)}
 
 
 @dataclass(frozen=True)
@@ -22,6 +25,18 @@ class ChatMeta:
     default_system: str = ""
 
 
+def load_meta(spark: SparkSession, model_path: str, meta_path: str = "") -> ChatMeta:
+    """What the key=value file beside a model (its path with .meta.txt for the ending), or at ``meta_path``,
+    says of its chats. Without such a file the raw family is taken; unknown keys are ignored."""
+    path = meta_path or re.sub(r"\.[^./]*$", "", model_path) + ".meta.txt"
+    folder, _, name = path.rpartition("/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder or ".").select(F.decode("content", "UTF-8").alias("t")).head()
+    if found is None:
+        return ChatMeta(chat_family="raw")
+    own = dict(line.split("=", 1) for line in found.t.splitlines() if "=" in line and not line.startswith("#"))
+    return ChatMeta(own.get("chat_family", ""), own.get("has_chat_template", "0").strip().lower() in ("1", "true"), own.get("default_system", ""))
+
+
 @dataclass(frozen=True)
 class ChatOptions:
     chat_family: str = ""
@@ -29,9 +44,18 @@ class ChatOptions:
     use_model_default_system: bool = False
     system_extra: str = ""
     max_new_tokens: int = 64
+    temperature: float = 0.0
+    stop: tuple[str, ...] = ()
     prompt_override: str = ""
 
 
+def generation_settings(o: ChatOptions, m: ChatMeta = ChatMeta()) -> dict:
+    """What a model is called with: its family after the policy's check, its length, temperature and stops."""
+    family = chat_family(o, m)
+    enforce_policy(family, m, o.allow_approx_chat)
+    return {"chat_family": family, "max_new_tokens": o.max_new_tokens, "temperature": o.temperature, "stop": [*o.stop, *STOPS.get(family, ())]}
+
+
 def system_content(o: ChatOptions, m: ChatMeta = ChatMeta()) -> str:
     out = C.SYSTEM_RULES
     if o.use_model_default_system and m.default_system:

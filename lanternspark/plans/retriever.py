@@ -182,6 +182,14 @@ class Retriever:
         vectors = self.vectors.unionByName(cut(embed(new, self.embedder, "id", "text")))
         return Retriever(self.spark, chunks, vectors, self.embedder, self.mode, self.config), new
 
+    def contains(self, *ids: int) -> bool:
+        """Whether all of the ids are in the store."""
+        return self.get(*ids).count() == len(set(ids))
+
+    def get(self, *ids: int) -> DataFrame:
+        """(id, source, text) of the given ids that are there; the filter reaches the store's scan."""
+        return self.chunks.where(F.col("id").isin(*ids)).select("id", "source", "text")
+
     def sizes(self) -> dict[str, int]:
         row = self.chunks.agg(F.count("*").alias("n"), F.count_if(F.col("id") != NO_EVIDENCE_ID).alias("real")).first()
         return {"size": row.n, "real_size": row.real, "index_size": self.vectors.count()}

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternspark.functions.constants import DONT_KNOW
 from lanternspark.functions.similarity import token_jaccard
 from lanternspark.operators import evaluation as ev
 from lanternspark.operators.embedders import HashingEmbedder
+from lanternspark.operators.grounding import HIT, GroundingConfig, validate
 from lanternspark.operators.training import ContrastiveConfig, Word2VecConfig
 from lanternspark.plans.retriever import Retriever
 from lanternspark.sources import tsv
 
 #: Hits fetched for evaluation beyond the ranks that count.
 EXTRA = 4
+#: How the word vectors of the ablation are trained.
+ABLATION = Word2VecConfig(epochs=80, doc_repeat=12, seed=42)
 
 
 def eval_mode(retriever: Retriever, labeled: DataFrame, mode: str, k: int = 5) -> dict[str, float]:
@@ -44,9 +48,10 @@ def run(spark: SparkSession, chunks: DataFrame, pairs: DataFrame, easy: DataFram
     grounded = ev.grounding_metrics(own.ask(easy), easy).first()
     report |= {"refuse_pass": refused.pass_rate, "grounding_pass": grounded.full_pass_rate, "answer_rate": grounded.answer_rate}
     if ablations:
-        for name, other in (("hashing", Retriever.build(spark, chunks, HashingEmbedder(config.dim))), ("word2vec", Retriever.build_word2vec(spark, chunks, Word2VecConfig()))):
+        hashing, words = Retriever.build(spark, chunks, HashingEmbedder(config.dim)), Retriever.build_word2vec(spark, chunks, ABLATION)
+        for name, other, mode in (("hashing", hashing, "hybrid"), ("hashing_dense", hashing, "dense"), ("word2vec", words, "hybrid")):
             for set_name, rows in (("easy", easy), ("hard", hard)):
-                report |= {f"{name}_{set_name}_{k}": v for k, v in eval_mode(other, rows, "hybrid").items()}
+                report |= {f"{name}_{set_name}_{k}": v for k, v in eval_mode(other, rows, mode).items()}
     return report
 
 
@@ -66,7 +71,26 @@ def paraphrase(retriever: Retriever, labeled: DataFrame, max_jaccard: float = 0.
     return {"n": n, "recall_1": good / n if n else 0.0}
 
 
-def grounding(retriever: Retriever, labeled: DataFrame, out_of_scope: DataFrame) -> dict[str, float]:
-    inside = ev.grounding_metrics(retriever.ask(labeled), labeled).first()
-    outside = ev.refusal_metrics(retriever.ask(out_of_scope)).first()
-    return {"answer_rate": inside.answer_rate, "full_pass_rate": inside.full_pass_rate, "refuse_pass": outside.pass_rate}
+def validator_negatives(spark: SparkSession) -> list[str]:
+    """Said of one passage, and of none: what the validator judges wrongly."""
+    passage = "Swifts sleep on the wing and land only to breed."
+    cases = [
+        (True, "Swifts eat granite [#99]", False), (True, passage, False), (True, f"{passage} [#7]", True), (True, "Granite erodes in acid baths [#7]", False),
+        (False, DONT_KNOW, True), (False, "Swifts eat granite.", False), (False, f"{DONT_KNOW} [#7]", False),
+    ]
+    hit = F.struct(F.lit(7).cast("bigint").alias("id"), F.lit(0.9).alias("score"), F.lit("t").alias("source"), F.lit(passage).alias("text"), F.lit(True).alias("score_is_cosine"))
+    rows = spark.createDataFrame(cases, "given boolean, said string, want boolean")
+    used = F.when(F.col("given"), F.array(hit)).otherwise(F.array().cast(f"array<{HIT}>"))
+    got = rows.withColumn("used", used).select("said", "want", validate(F.col("said"), F.col("used"))["ok"].alias("ok"))
+    return [r.said for r in got.where("ok != want").collect()]
+
+
+def grounding(retriever: Retriever, labeled: DataFrame, out_of_scope: DataFrame, c: GroundingConfig = GroundingConfig()) -> dict[str, float]:
+    """Rates, and how many cases of each kind failed: in the domain, out of it or blank, and the validator's."""
+    inside = ev.grounding_metrics(retriever.ask(labeled, c=c), labeled).first()
+    outside = ev.refusal_metrics(retriever.ask(out_of_scope, c=c)).first()
+    return {
+        "answer_rate": inside.answer_rate, "full_pass_rate": inside.full_pass_rate, "refuse_pass": outside.pass_rate,
+        "failed_in_domain": inside.n - round(inside.n * inside.full_pass_rate), "failed_out_of_scope": outside.n_failed,
+        "failed_validator": len(validator_negatives(retriever.spark)),
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,6 +22,8 @@ def build_session(app: str = "lanternspark", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return ship(builder.config(map=settings).getOrCreate())
 
@@ -49,15 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one named in ``spark.checkpoint.dir``; it survives the loss of executors. Only a
     local session without that setting gets a temporary folder; a cluster without it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for tables that are read again, under the checkpoint folder, which is set up if need be."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="lanternspark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
 
 
 def rows_of(df: DataFrame, block: int) -> Iterator[Row]:
@@ -66,18 +76,25 @@ def rows_of(df: DataFrame, block: int) -> Iterator[Row]:
     return iter(head) if len(head) <= block else df.toLocalIterator(prefetchPartitions=True)
 
 
-#: Operators whose input is shuffled: their output is already spread by size.
+#: Physical operators whose input is shuffled: their output is already spread by size.
 _SHUFFLED = ("Aggregate", "Join", "Window", "Sort", "Repartition", "Exchange")
 
 
+def _operators(plan) -> Iterator[str]:
+    """Class names of a physical plan's operators; names of tables and columns don't count."""
+    yield plan.getClass().getSimpleName()
+    below = plan.children()
+    for k in range(below.size()):
+        yield from _operators(below.apply(k))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that feeds costly Python work, when it has fewer partitions than cores.
 
     A no-op when the scan already has a partition for every core, and for results of a shuffle, whose
     number of partitions is known only by running it.
     """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if any(name in plan for name in _SHUFFLED):
+    if any(name in own for own in _operators(df._jdf.queryExecution().sparkPlan()) for name in _SHUFFLED):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)

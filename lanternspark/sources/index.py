@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections import Counter
 from dataclasses import asdict, dataclass, fields
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternspark.functions.constants import NO_EVIDENCE_ID
+from lanternspark.functions.text import is_sentinel_row
 from lanternspark.operators.embedders import ContrastiveEmbedder, Embedder, HashingEmbedder, MeanEmbedder
 
 VERSION = 2
@@ -80,8 +82,10 @@ def describe(chunks: DataFrame, embedder: Embedder) -> IndexMeta:
 
 
 def validate_index(m: IndexMeta, chunks: DataFrame, vectors: DataFrame) -> None:
-    """One job over both tables: counts, sizes of vectors and the sentinel must agree with the meta."""
-    c = chunks.agg(F.count("*").alias("n"), F.count_if(F.col("id") != NO_EVIDENCE_ID).alias("real")).first()
+    """One job over both tables: counts, sizes of vectors and the sentinel must agree with the meta, and a
+    reserved id must be the sentinel's by source and text."""
+    fake = (F.col("id") < 0) & ~is_sentinel_row(F.col("id"), F.col("source"), F.col("text"))
+    c = chunks.agg(F.count("*").alias("n"), F.count_if(F.col("id") != NO_EVIDENCE_ID).alias("real"), F.count_if(fake).alias("fake")).first()
     v = vectors.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
     problems = [
         (c.n != m.n_chunks, f"{c.n} chunks, but the meta says {m.n_chunks}"),
@@ -89,6 +93,7 @@ def validate_index(m: IndexMeta, chunks: DataFrame, vectors: DataFrame) -> None:
         (v.n != c.n, f"{v.n} vectors for {c.n} chunks"),
         (v.n and not v.lo == v.hi == m.dim, f"vectors of {v.lo} to {v.hi}, but the meta says {m.dim}"),
         ((c.n > c.real) != bool(m.has_no_evidence), "the sentinel doesn't agree with the meta"),
+        (c.fake, "a reserved id isn't the sentinel's by source and text"),
     ]
     for wrong, why in problems:
         if wrong:
@@ -96,11 +101,12 @@ def validate_index(m: IndexMeta, chunks: DataFrame, vectors: DataFrame) -> None:
 
 
 def save_weights(spark: SparkSession, embedder: Embedder, path: str) -> None:
-    """Weights as (kind, name, n, vec) rows; hashing has none."""
+    """Weights as (kind, name, n, vec) rows, kind being token, ngram or bigram; hashing has none."""
     if isinstance(embedder, HashingEmbedder):
         return
     names = {n: t for t, n in embedder.vocab.items()}
-    rows = [("token" if n in names else "bucket", names.get(n), n, row.tolist()) for n, row in enumerate(embedder.rows)]
+    first_bigram = len(names) + getattr(embedder, "ngrams", 0)
+    rows = [("token" if n in names else "ngram" if n < first_bigram else "bigram", names.get(n), n, row.tolist()) for n, row in enumerate(embedder.rows)]
     spark.createDataFrame(rows, "kind string, name string, n int, vec array<float>").write.mode("overwrite").parquet(path)
 
 
@@ -114,8 +120,10 @@ def load_embedder(spark: SparkSession, m: IndexMeta, path: str) -> Embedder:
     if m.embedder_id.startswith("word2vec"):
         own: Embedder = MeanEmbedder(vocab, table)
     elif m.embedder_id.startswith("contrastive"):
-        half = (len(rows) - len(vocab)) // 2
-        own = ContrastiveEmbedder(vocab, table, half, half, m.embedder_id)
+        count = Counter(r.kind for r in rows)
+        if set(count) - {"token", "ngram", "bigram"}:
+            raise ValueError("the weights don't tell n-gram from bigram buckets")
+        own = ContrastiveEmbedder(vocab, table, count["ngram"], count["bigram"], m.embedder_id)
     else:
         raise ValueError(f"unknown embedder {m.embedder_id!r}")
     if own.dim != m.dim:
@@ -145,42 +153,58 @@ def next_chunk_id(chunks: DataFrame) -> int:
 
 
 #: Weight files of other tools: a magic word, a version, sizes, then names and rows of 32-bit floats.
-MAGIC = {b"NCTR": "contrastive", b"NW2V": "word2vec"}
+MAGIC = {"contrastive": b"NCTR", "word2vec": b"NW2V"}
 MAX_TOKEN = 65535
 
 
-def dump_weights(embedder: ContrastiveEmbedder) -> bytes:
-    """Version 2 of the binary form: <magic, version, dim, words, n-gram and bigram buckets>, then
-    <length, token> and rows."""
+def dump_weights(embedder: ContrastiveEmbedder | MeanEmbedder) -> bytes:
+    """The binary form. Of contrastive weights, version 2: <magic, version, dim, words, n-gram and bigram
+    buckets>, every <length, token>, then all rows. Of word vectors, version 1: <magic, version, dim, words>,
+    then every <length, token, row>."""
     words = sorted(embedder.vocab, key=embedder.vocab.get)
-    out = [b"NCTR", struct.pack("<5I", 2, embedder.dim, len(words), embedder.ngrams, embedder.bigrams)]
+    if isinstance(embedder, ContrastiveEmbedder):
+        out = [MAGIC["contrastive"], struct.pack("<5I", 2, embedder.dim, len(words), embedder.ngrams, embedder.bigrams)]
+    else:
+        out = [MAGIC["word2vec"], struct.pack("<3I", 1, embedder.dim, len(words))]
+    rows = embedder.rows.astype("<f4")
+    apart = isinstance(embedder, ContrastiveEmbedder)
     for w in words:
         raw = w.encode()
         if len(raw) > MAX_TOKEN:
             raise ValueError("a token is longer than 65535 bytes")
-        out += [struct.pack("<H", len(raw)), raw]
-    return b"".join([*out, embedder.rows.astype("<f4").tobytes()])
+        out += [struct.pack("<H", len(raw)), raw, b"" if apart else rows[embedder.vocab[w]].tobytes()]
+    return b"".join([*out, rows.tobytes() if apart else b""])
 
 
-def parse_weights(data: bytes) -> ContrastiveEmbedder:
-    """Versions 1 (words only) and 2; anything cut short or of another kind is an error."""
-    if data[:4] != b"NCTR" or len(data) < 12:
-        raise ValueError("not a file of contrastive weights")
+def parse_weights(data: bytes) -> ContrastiveEmbedder | MeanEmbedder:
+    """Contrastive weights of versions 1 (words only) and 2, word vectors of version 1; anything cut short or
+    of another kind is an error."""
+    kind = next((k for k, m in MAGIC.items() if data[:4] == m), None)
+    if kind is None or len(data) < 16:
+        raise ValueError("not a file of weights")
     version, dim, n = struct.unpack_from("<3I", data, 4)
-    if version not in (1, 2):
+    if version not in ((1, 2) if kind == "contrastive" else (1,)):
         raise ValueError(f"version {version} is not supported")
     at = 16
     grams = pairs = 0
-    if version == 2:
-        grams, pairs = struct.unpack_from("<2I", data, 16)
-        at = 24
     vocab: dict[str, int] = {}
-    for k in range(n):
-        (size,) = struct.unpack_from("<H", data, at)
-        vocab[data[at + 2 : at + 2 + size].decode()] = k
-        at += 2 + size
-    count = (n + grams + pairs) * dim
-    if len(data) < at + 4 * count:
-        raise ValueError("the file is cut short")
-    rows = np.frombuffer(data, "<f4", count, at).reshape(-1, dim)
-    return ContrastiveEmbedder(vocab, rows, grams, pairs, f"contrastive-v{version}")
+    rows: list[np.ndarray] = []
+    try:
+        if version == 2:
+            grams, pairs = struct.unpack_from("<2I", data, 16)
+            at = 24
+        for k in range(n):
+            (size,) = struct.unpack_from("<H", data, at)
+            vocab[data[at + 2 : at + 2 + size].decode()] = k
+            at += 2 + size
+            if kind == "word2vec":
+                rows.append(np.frombuffer(data, "<f4", dim, at))
+                at += 4 * dim
+        if kind == "word2vec":
+            if not n or not dim:
+                raise ValueError("the file holds no word vectors")
+            return MeanEmbedder(vocab, np.stack(rows))
+        table = np.frombuffer(data, "<f4", (n + grams + pairs) * dim, at)
+    except (struct.error, ValueError) as e:
+        raise ValueError(f"the file is cut short or empty: {e}") from e
+    return ContrastiveEmbedder(vocab, table.reshape(-1, dim), grams, pairs, f"contrastive-v{version}")
