@@ -2,23 +2,28 @@
 
 A prefix of a word has one tokenisation, and cutting a tokenisation between two tokens leaves the
 tokenisations of both parts. So the last token of every prefix describes them all: each prefix points
-back to the prefix before its last token. Whatever bytes follow, the final tokenisation passes through
-one of the last L prefixes, L being the longest token of the merge list; that is the lookahead that
-suffices. Tokens on the way back that these prefixes share are stable and are emitted at once.
+back to the prefix before its last token. An automaton over all tokens gives those that end at a byte,
+longest first; the last token is the first of them that stays as it is behind the token before it. Whatever
+bytes follow, the final tokenisation passes through one of the last L prefixes, L being the longest token
+of the merge list; that is the lookahead that suffices. Tokens on the way back that these prefixes share
+are stable and are emitted at once.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
+import math
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,45 +64,90 @@ def _findall(text: str) -> list[str]:
     return PLAIN.findall(text) if SEPARATOR.search(text) is None and _odd().isdisjoint(text) else _full()(text)
 
 
-def split(text: str) -> Iterator[list[str]]:
+@dataclass(frozen=True)
+class Part:
+    """Some of a word that is longer than a slice; ``last`` tells that it ends there."""
+
+    text: str
+    last: bool
+
+
+@lru_cache(1)
+def _runs() -> tuple:
+    """Patterns of what continues a word: letters, numbers, white space, other signs."""
+    import regex
+
+    return tuple(map(regex.compile, (r"\p{L}*+", r"\p{N}*+", r"\p{White_Space}*+", r"[^\p{White_Space}\p{L}\p{N}]*+")))
+
+
+def split(text: str) -> Iterator[list[str] | Part]:
     """The words of ``text``, a slice at a time; a word that touches a slice's end waits for more text.
 
-    Memory is bounded by the slice, or by the longest single run of one kind of character.
+    A word longer than a slice comes in parts, so memory is bounded by the slice.
     """
     if len(text) <= SLICE:
         yield _findall(text)
         return
-    at, width = 0, SLICE
+    at = 0
     while at < len(text):
-        part = text[at : at + width]
+        part = text[at : at + SLICE]
         found = _findall(part)
-        if at + width < len(text):
+        if at + SLICE < len(text):
             kept = len(found)
             end = len(part)
             while kept and end > len(part) - 2:  # unstable: more text could lengthen it or move its end
                 kept -= 1
                 end -= len(found[kept])
             if not kept:
-                width *= 2
+                at = yield from _long(text, at)
                 continue
             found, part = found[:kept], part[:end]
         yield found
-        at, width = at + len(part), SLICE
+        at += len(part)
+
+
+def _long(text: str, at: int) -> Iterator[Part]:
+    """The parts of the word at ``at``, which fills a slice; returns where it ends."""
+    blank = _runs()[2]
+    kind = next(k for k in _runs() if k.match(text[at + 1]).end())
+    end = at + 1
+    while True:  # where the run ends, a slice at a time
+        more = kind.match(text, end, end + SLICE).end() - end
+        if more < SLICE:
+            end += more
+            break
+        yield Part(text[at:end], False)
+        at, end = end, end + more
+    if kind is blank and end < len(text):
+        end -= 1  # the last white space belongs to what follows
+    yield Part(text[at:end], True)
+    return end
 
 
 class Merges:
     """A merge list: token bytes with ranks that are also their ids."""
 
     def __init__(self, path: str = DEFAULT_PATH):
+        import ahocorasick
+
         lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
         self.rank = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.token = {rank: token for token, rank in self.rank.items()}
         #: Bytes of lookahead after which what all open prefixes share can't change.
         self.lookahead = max(map(len, self.rank))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.size = {rank: len(token) for token, rank in self.rank.items()}
+        if any(bytes([b]) not in self.rank for b in range(256)):
+            raise ValueError("the merge list doesn't hold every byte")
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token, rank in self.rank.items():
+            self.automaton.add_word(token.decode("latin-1"), rank)
+        self.automaton.make_automaton()
+        #: Of pairs of tokens (left << 32 | right) whether they fit.
+        self.known: dict[int, bool] = {}
+        self._spines: tuple[dict, dict] = ({}, {})
 
     def by_merging(self, word: bytes) -> list[int]:
-        """Ids by the merge list itself, lowest rank first; for pairs of tokens only, as it is quadratic."""
+        """Ids by the merge list itself, lowest rank first; it is quadratic, and tests hold ``fits`` against it."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
             ranked = [(self.rank.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
@@ -107,15 +157,54 @@ class Merges:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
+    def _spine(self, token: int, right: bool) -> tuple[list[bytes], list[float]]:
+        """The parts of a token at its right or left edge, from the byte to the token, as merging makes them,
+        and for each the rank of the merge that ends it."""
+        known = self._spines[right].get(token)
+        if known is None:
+            whole = self.token[token]
+            parts = [whole]
+            while len(parts[-1]) > 1:  # the last merge of a token is of the two parts that are left without it
+                a, b = self.halves(parts[-1])
+                parts.append(b if right else a)
+            parts.reverse()
+            known = self._spines[right][token] = (parts, [*(self.rank[p] for p in parts[1:]), math.inf])
+        return known
+
+    def halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two parts whose merge gives the token."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            i = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts[0], parts[1]
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are side by side; left -1: at the start of a word."""
-        key = (left, right)
-        known = self._fits.get(key)
+        """Whether the two tokens stay as they are side by side; left -1: at the start of a word.
+
+        At each time of merging one part of the left token and one of the right token meet at the border. They
+        would become one if their merge came before the merges that end either of them; of equal ones the
+        leftmost comes first.
+        """
+        key = left << 32 | right
+        known = self.known.get(key)
         if known is None:
-            if len(self._fits) >= PAIR_LIMIT:
-                self._fits.clear()
-            word = (b"" if left < 0 else self.token[left]) + self.token[right]
-            known = self._fits[key] = self.by_merging(word) == ([right] if left < 0 else [left, right])
+            if len(self.known) >= PAIR_LIMIT:
+                self.known.clear()
+            known = True
+            if left >= 0:
+                (ends, until), (starts, till) = self._spine(left, True), self._spine(right, False)
+                i = j = 0
+                while known:
+                    rank = self.rank.get(ends[i] + starts[j], math.inf)
+                    known = not (rank < until[i] and rank <= till[j])
+                    if i == len(ends) - 1 and j == len(starts) - 1:
+                        break
+                    if until[i] <= till[j]:
+                        i += 1
+                    else:
+                        j += 1
+            self.known[key] = known
         return known
 
 
@@ -124,68 +213,76 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.base, self.tail = 0, b""  # the bytes from offset ``base`` on are kept
+        self.base = self.end = 0  # the prefixes between are open
         self.last: dict[int, int] = {0: -1}  # the last token of the prefix of each length
-
-    def _extend(self, end: int) -> None:
-        m = self.merges
-        for size in range(min(end, m.lookahead), 0, -1):
-            start = end - size
-            if start in self.last and (token := m.rank.get(self.tail[start - self.base : end - self.base])) is not None and m.fits(self.last[start], token):
-                self.last[end] = token
-                return
-        raise ValueError("the merge list doesn't hold every byte")
-
-    def _back(self, end: int, stop: int) -> list[tuple[int, int]]:
-        way = []
-        while end > stop:
-            token = self.last[end]
-            way.append((end, token))
-            end -= len(self.merges.token[token])
+        self.scan = merges.automaton.iter("")
+
+    def _back(self, end: int) -> list[int]:
+        """The tokens from the open start to a prefix's end."""
+        last, size, way = self.last, self.merges.size, []
+        while end > self.base:
+            way.append(token := last[end])
+            end -= size[token]
         return way[::-1]
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
+        last, fits, size = self.last, self.merges.fits, self.merges.size
         for k in range(0, len(data), 256):
             piece = data[k : k + 256]
-            begin = self.base + len(self.tail)
-            self.tail += piece
-            for end in range(begin + 1, begin + len(piece) + 1):
-                self._extend(end)
-            out += self._emit(begin + len(piece))
+            self.scan.set(piece.decode("latin-1"), False)
+            for place, token in self.scan:  # the tokens that end at a byte, longest first
+                end = place + 1
+                if end not in last:
+                    before = last.get(end - size[token])
+                    if before is not None and fits(before, token):
+                        last[end] = token
+            self.end += len(piece)
+            out += self._emit()
+            last = self.last
         return out
 
-    def _emit(self, end: int) -> list[int]:
-        """What all of the last ``lookahead`` prefixes share is stable."""
-        low = end - self.merges.lookahead + 1
+    def _emit(self) -> list[int]:
+        """Where the ways back of the last ``lookahead`` prefixes have all met, what lies before is stable."""
+        low = self.end - self.merges.lookahead + 1
         if low <= self.base:  # the start is still open
             return []
-        shared: list[tuple[int, int]] | None = None
-        for open_end in range(low, end + 1):
-            way = self._back(open_end, self.base)
-            if shared is None:
-                shared = way
-            else:
-                n = next((i for i, (a, b) in enumerate(zip(shared, way, strict=False)) if a != b), min(len(shared), len(way)))
-                shared = shared[:n]
-            if not shared:
-                return []
-        stable = shared[-1][0]
-        self.tail = self.tail[stable - self.base :]
-        self.last = {e: t for e, t in self.last.items() if e >= stable}
+        last, size = self.last, self.merges.size
+        open_, far = set(range(low, self.end + 1)), self.end
+        while len(open_) > 1:  # the farthest goes back one token
+            while far not in open_:
+                far -= 1
+            open_.remove(far)
+            open_.add(far - size[last[far]])
+        stable = open_.pop()
+        out = self._back(stable)
         self.base = stable
-        return [t for _, t in shared]
+        self.last = {e: t for e, t in last.items() if e >= stable}
+        return out
 
     def finish(self) -> list[int]:
-        return [t for _, t in self._back(self.base + len(self.tail), self.base)]
+        return self._back(self.end)
 
 
 def encode_word(word: str, merges: Merges) -> tuple[int, ...]:
     data = word.encode("utf-8", "surrogatepass")
     if (whole := merges.rank.get(data)) is not None and merges.fits(-1, whole):
         return (whole,)
-    run = Transducer(merges)
-    return (*run.feed(data), *run.finish())
+    if len(data) > merges.lookahead:
+        run = Transducer(merges)
+        return (*run.feed(data), *run.finish())
+    # nothing can be emitted early, so the prefixes' last tokens are all there is to keep
+    last, size, fits, known = [-1] + [None] * len(data), merges.size, merges.fits, merges.known
+    for place, token in merges.automaton.iter(data.decode("latin-1")):
+        if last[place + 1] is None and (before := last[place + 1 - size[token]]) is not None:
+            good = known.get(before << 32 | token)
+            if good or (good is None and fits(before, token)):
+                last[place + 1] = token
+    end, way = len(data), []
+    while end:
+        way.append(last[end])
+        end -= size[last[end]]
+    return tuple(way[::-1])
 
 
 class Encoder(dict):
@@ -196,11 +293,14 @@ class Encoder(dict):
         self.merges, self.flat, self.starts = merges, array("i"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
-        self.flat.extend(encode_word(word, self.merges))
-        self.starts.append(len(self.flat))
-        number = self[word] = len(self.starts) - 2
+        number = self[word] = self.added(encode_word(word, self.merges))
         return number
 
+    def added(self, ids: Iterable[int]) -> int:
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        return len(self.starts) - 2
+
     def trim(self) -> None:
         """Forget all words when they take more than their share of memory; called between batches."""
         if len(self) > CACHE_LIMIT or len(self.flat) > 8 * CACHE_LIMIT:
@@ -211,8 +311,15 @@ class Encoder(dict):
         """(offsets, ids) of all texts: words become numbers, and numbers ranges of the flat table."""
         numbers, counts = array("i"), [0]
         for text in texts:
-            if text:
-                for found in split(text):
+            run: Transducer | None = None  # of a word in parts, which isn't kept
+            for found in split(text) if text else ():
+                if isinstance(found, Part):
+                    run = run or Transducer(self.merges)
+                    numbers.append(self.added(run.feed(found.text.encode("utf-8", "surrogatepass"))))
+                    if found.last:
+                        numbers.append(self.added(run.finish()))
+                        run = None
+                else:
                     numbers.extend(map(self.__getitem__, found))
             counts.append(len(numbers))
         starts, flat = np.array(self.starts), np.array(self.flat, np.int32)
@@ -242,11 +349,23 @@ def _encoder(path: str) -> Encoder:
     return Encoder(Merges(path))
 
 
+def _by_size(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most 1024 rows and, but for longer single texts, ``most`` bytes."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
+    offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
+        stop = min(max(stop, at + 1), at + 1024, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _encoder(path)
         for batch in batches:
-            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+            for part in _by_size(batch):
                 offsets, ids = known.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
                 known.trim()
