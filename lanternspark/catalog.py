@@ -15,7 +15,7 @@ from lanternspark.functions import constants as C
 from lanternspark.functions import hashing as H
 from lanternspark.functions import similarity as sim
 from lanternspark.functions import text as tx
-from lanternspark.operators import chunking, dense, evaluation, fusion, grounding, rejects
+from lanternspark.operators import chunking, dense, evaluation, fusion, grounding, ivf, rejects
 from lanternspark.operators.embedders import HashingEmbedder, embed
 from lanternspark.operators.sparse import Bm25, store, top_k
 from lanternspark.plans import prompts as chat
@@ -352,6 +352,26 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(dense.search(rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), rows, 10))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query()
+def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
+    """By the partitioned index: not all rows are compared, so not all of the exact hits need be there."""
+    rows = _vectors(spark, d)
+    return _rounded(ivf.InvertedFile.build(rows).search(rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), 10))
+
+
+@query("SELECT count(*) * least(10, (SELECT count(*) FROM embeddings)) AS n, true AS reaches_09 FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the partitioned index has at least 0.9 of the exact hits."""
+    rows = _vectors(spark, d)
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    found = ivf.recall(ivf.InvertedFile.build(rows).search(asked, 10), dense.search(asked, rows, 10))
+    return found.select("n", (F.col("recall") >= 0.9).alias("reaches_09"))
+
+
 @query(f"""
     WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, q.label AS own, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
                FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),

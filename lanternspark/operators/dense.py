@@ -47,13 +47,15 @@ class Best:
         self.k, self.floor = k, np.full(n, -np.inf)
         self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, scores: np.ndarray, ids: np.ndarray, which: np.ndarray | None = None) -> None:
+        """The scores of some rows for all queries, or for those at the places ``which``."""
         keys = np.round(scores, 9)
+        which = np.arange(len(self.floor)) if which is None else which
         if scores.shape[1] > self.k:
             least = scores.shape[1] - self.k
-            self.floor = np.maximum(self.floor, np.partition(keys, least, axis=1)[:, least])
-        row, col = np.nonzero(keys >= self.floor[:, None])
-        self.held = keep(*(np.concatenate(x) for x in zip(self.held, (row, ids[col], scores[row, col]), strict=True)), self.k)
+            self.floor[which] = np.maximum(self.floor[which], np.partition(keys, least, axis=1)[:, least])
+        row, col = np.nonzero(keys >= self.floor[which][:, None])
+        self.held = keep(*(np.concatenate(x) for x in zip(self.held, (which[row], ids[col], scores[row, col]), strict=True)), self.k)
         full = np.flatnonzero(np.bincount(self.held[0], minlength=len(self.floor)) == self.k)
         last = np.searchsorted(self.held[0], full, "right") - 1
         self.floor[full] = np.maximum(self.floor[full], np.round(self.held[2][last], 9))

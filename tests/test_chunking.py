@@ -1,4 +1,6 @@
 import random
+import re
+from dataclasses import replace
 
 import pytest
 
@@ -60,3 +62,145 @@ def test_numbering_goes_on_over_partitions(frame):
     got = {r.text: r.id for r in number(rows, 10).collect()}
     assert got == {str(i): 10 + i for i in range(60)}
     assert number(rows.limit(0)).count() == 0
+
+
+class Plain:
+    """The rules of the chunkers over lists of characters, one step at a time, for comparison."""
+
+    def __init__(self, c):
+        self.c = c
+
+    @staticmethod
+    def size(chars):
+        return sum(len(x.encode()) for x in chars)
+
+    @staticmethod
+    def tidied(text):
+        return " ".join(x for x in re.split("[ \t\n\r\f\x0b]+", text) if x)
+
+    def windows(self, text):
+        """Byte places of characters are counted by hand; a place inside a character goes back to its start."""
+        text = self.tidied(text)
+        starts, at = [], 0
+        for x in text:
+            starts.append(at)
+            at += len(x.encode())
+        total, out, here = at, [], 0
+        floor = lambda b: max(s for s in [*starts, total] if s <= b)
+        cut = lambda a, b: self.tidied("".join(x for x, s in zip(text, starts, strict=True) if a <= s < b))
+        while here < total:
+            end = min(here + self.c.max_chars, total)
+            if end < total:
+                spaces = [s for x, s in zip(text, starts, strict=True) if x == " " and here < s <= end]
+                if self.c.prefer_word_break and spaces and spaces[-1] > here + self.c.max_chars // 4:
+                    end = spaces[-1]
+                end = floor(end)
+                if end <= here:
+                    end = min(s for s in [*starts, total] if s > here)
+            piece = cut(here, end)
+            if piece and (end < total or len(piece.encode()) >= self.c.min_chars or not out):
+                out.append(piece)
+            if end >= total:
+                break
+            back = floor(max(end - self.c.overlap_chars, 0))
+            here = back if back > here else end
+        return out
+
+    def packed(self, units):
+        out, run = [], ""
+        length = lambda s: len(s.encode())
+        keep = lambda s: out.append(self.tidied(s)) if self.tidied(s) and (length(self.tidied(s)) >= self.c.min_chars or not out) else None
+        for unit in units:
+            if length(unit) > self.c.max_chars:
+                if run and length(run) < self.c.min_chars:
+                    unit = f"{run} {unit}"
+                else:
+                    keep(run)
+                out += self.windows(unit)
+                run = ""
+            elif run and length(run) + 1 + length(unit) <= self.c.max_chars:
+                run = f"{run} {unit}"
+            elif not run:
+                run = unit
+            else:
+                keep(run)
+                run = unit
+                if self.c.overlap_chars and out and length(out[-1]) > self.c.overlap_chars:
+                    last, tail = out[-1], ""
+                    for x in reversed(last):  # back to the start of the character that the place lies in
+                        tail = x + tail
+                        if length(tail) >= self.c.overlap_chars:
+                            break
+                    tail = self.tidied(tail)
+                    if tail and length(f"{tail} {unit}") <= self.c.max_chars:
+                        run = f"{tail} {unit}"
+        keep(run)
+        return out
+
+    def sentences(self, text):
+        out, now, at = [], "", 0
+        while at < len(text):
+            x = text[at]
+            between = x == "." and 0 < at < len(text) - 1 and text[at - 1] in DIGITS and text[at + 1] in DIGITS
+            now += x
+            at += 1
+            if x in ".!?" and not between:
+                while at < len(text) and text[at] in "\"')]":
+                    now += text[at]
+                    at += 1
+                out.append(now)
+                now = ""
+        return [s for s in map(self.tidied, [*out, now]) if s]
+
+    def paragraphs(self, text):
+        return [p for p in map(self.tidied, re.split("\n\n+", text.replace("\r", ""))) if p]
+
+    def chunks(self, text, source):
+        if self.c.strategy == "markdown":
+            sub, out = Plain(replace(self.c, strategy="sentence")), []
+            parts = [("", [])]
+            for line in text.split("\n"):
+                if re.match("#{1,6} ", line):
+                    parts.append((self.tidied(line.lstrip("#")), []))
+                else:
+                    parts[-1][1].append(line)
+            for heading, lines in parts:
+                body = self.tidied("\n".join(lines))
+                if heading or body:
+                    out += [(f"{source}#{heading}" if heading else source, t) for _, t in sub.chunks(f"{heading}. {body}" if heading else body, "-")]
+            return out
+        if self.c.strategy == "window":
+            pieces = self.windows(text)
+        elif self.c.strategy == "sentence":
+            pieces = self.packed(self.sentences(text))
+        else:
+            pieces = []
+            for p in self.paragraphs(text):
+                if len(p.encode()) > self.c.max_chars:
+                    pieces += self.windows(p)
+                elif len(p.encode()) >= self.c.min_chars or not pieces:
+                    pieces.append(p)
+        out = []
+        for p in pieces:
+            if len(p.encode()) < self.c.min_chars and out and len(out[-1].encode()) + 1 + len(p.encode()) <= 2 * self.c.max_chars:
+                out[-1] = self.tidied(f"{out[-1]} {p}")
+            else:
+                out.append(p)
+        return [(source, p) for p in out]
+
+
+DIGITS = "0123456789"
+
+
+@pytest.mark.parametrize("strategy", ["window", "sentence", "paragraph", "markdown"])
+def test_chunks_of_a_frame_against_plain_rules(frame, strategy):
+    rng = random.Random(len(strategy))
+    parts = ["alpha", "b", " ", "  ", "\n", "\n\n", "\n# Head two\n", ". ", "! ", "3.14", "é漢", "🧊", "?\") ", "\t", "longwordwithoutanyend", "\r\n", "## x\n", "Some more words here. "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    for most, overlap, least, words in ((40, 10, 8, True), (25, 0, 1, False), (7, 3, 5, True), (200, 50, 20, True), (3, 1, 1, True)):
+        c = ChunkerConfig(strategy, most, overlap, min_chars=least, prefer_word_break=words)
+        got = {}
+        for r in chunk_rows(frame("id bigint, text string, source string", *[(i, t, "s") for i, t in enumerate(texts)]), c, "id", "text", "source").collect():
+            got.setdefault(r.key, []).append((r.pos, r.source, r.text))
+        for i, t in enumerate(texts):
+            assert [(s, x) for _, s, x in sorted(got.get(i, []))] == Plain(c).chunks(t, "s"), (i, c)

@@ -1,5 +1,6 @@
 import json
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -8,10 +9,14 @@ from pyspark.sql import functions as F
 from lanternspark import catalog
 from lanternspark.__main__ import parser, smoke
 from lanternspark.functions.constants import NO_EVIDENCE_TEXT, OUT_OF_SCOPE
+from lanternspark.operators import chunking, grounding
 from lanternspark.operators import evaluation as ev
-from lanternspark.operators.embedders import HashingEmbedder
+from lanternspark.operators.embedders import ContrastiveEmbedder, HashingEmbedder, MeanEmbedder
 from lanternspark.operators.training import ContrastiveConfig, Word2VecConfig, out_of_scope_pairs, train_contrastive, train_word2vec, with_sentinel
+from lanternspark.plans import prompts as chat
+from lanternspark.plans import suite
 from lanternspark.plans.retriever import Retriever, add_to_index, sentinel_row
+from lanternspark.service.json_api import answer_json
 from lanternspark.service.rag import RagService, respond
 from lanternspark.sources import files, index, tsv
 from lanternspark.streaming.jobs import hit_counts, ingest
@@ -149,6 +154,80 @@ def test_index_round_trip_and_append(spark, chunks, tmp_path):
         index.validate_index(broken, opened.chunks, opened.vectors)
 
 
+def test_weights_keep_both_bucket_counts(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    own = ContrastiveEmbedder({"heron": 0, "reeds": 1}, rng.normal(size=(2 + 64 + 16, 8)), 64, 16)
+    index.save_weights(spark, own, f"{tmp_path}/w")
+    meta = index.IndexMeta(embedder_id=own.id, dim=8)
+    loaded = index.load_embedder(spark, meta, f"{tmp_path}/w")
+    assert (loaded.ngrams, loaded.bigrams) == (64, 16)
+    assert np.allclose(loaded.embed(["heron in reeds"]), own.embed(["heron in reeds"]))
+    old = spark.createDataFrame([("token", "a", 0, [1.0] * 8), ("bucket", None, 1, [1.0] * 8)], "kind string, name string, n int, vec array<float>")
+    old.write.parquet(f"{tmp_path}/old")
+    with pytest.raises(ValueError):
+        index.load_embedder(spark, meta, f"{tmp_path}/old")
+
+
+def test_word_vectors_in_binary_form():
+    own = MeanEmbedder({"heron": 0, "été": 1}, np.array([[1.0, 2.0], [3.0, 4.0]]))
+    data = index.dump_weights(own)
+    # magic, version, size, words, then each word's length, bytes and row
+    assert data[:4] == b"NW2V" and data[4:16] == struct.pack("<3I", 1, 2, 2) and data[16:23] == b"\x05\x00heron" and data[23:31] == np.array([1, 2], "<f4").tobytes()
+    back = index.parse_weights(data)
+    assert back.vocab == own.vocab and np.array_equal(back.rows, own.rows)
+    for bad in (data[:-1], data[:20], data[:3], struct.pack("<4s3I", b"NW2V", 1, 2, 0), struct.pack("<4s3I", b"NW2V", 2, 2, 1)):
+        with pytest.raises(ValueError):
+            index.parse_weights(bad)
+
+
+def test_look_ups_and_a_fake_sentinel(spark, chunks):
+    own = Retriever.build(spark, chunks, HashingEmbedder(8))
+    assert own.contains(0, 3) and not own.contains(0, 77) and [r.text for r in own.get(2, 77).collect()] == [TEXTS[2]]
+    fake = chunks.unionByName(spark.createDataFrame([(-1, "system", "not the fixed text")], CHUNKS))
+    other = Retriever.build(spark, fake, HashingEmbedder(8))
+    with pytest.raises(ValueError):
+        index.validate_index(index.describe(fake, other.embedder), other.chunks, other.vectors)
+
+
+def test_a_configuration_without_the_default_row(frame):
+    config = frame("source string, strategy string, max_chars bigint, overlap_chars bigint, min_chars bigint, prefer_word_break boolean", ("a", "window", 30, 0, 1, True))
+    docs = frame("doc_id bigint, text string, source string", (1, "word " * 20, "a"), (2, "word " * 20, "zzz"), (3, "word " * 20, None))
+    got = {}
+    for r in chunking.chunk_rows(docs, config, "doc_id", "text", "source").collect():
+        got.setdefault(r.key, []).append(r.text)
+    assert len(got[1]) > 3 and got[2] == got[3] == [("word " * 20).strip()]
+
+
+def test_answers_as_json(frame):
+    hit = "struct<id:bigint,score:double,source:string,text:string,score_is_cosine:boolean>"
+    one, two = (4, 0.25, "s", 'Herons "fish" in\tthe reeds.', True), (9, 0.5, None, "Other", True)
+    rows = frame(f"qid bigint, query string, candidates array<{hit}>, used array<{hit}>", (1, "herons?", [one, two], [one]), (2, None, [two], []))
+    got = {r.qid: json.loads(r.body) for r in answer_json(grounding.answers(rows)).collect()}
+    first = {"id": 4, "score": 0.25, "source": "s", "text": one[3]}
+    assert got[1]["citations"] == [first] and got[1]["candidates"] == [first, {"id": 9, "score": 0.5, "source": None, "text": "Other"}]
+    assert got[1]["mode"] == "extractive" and got[1]["grounding"]["ok"] and not got[1]["refused"]
+    assert got[2]["refused"] and got[2]["query"] is None and got[2]["citations"] == [] and got[2]["grounding"]["reason"] == "ok: refused with empty context"
+
+
+def test_chat_settings(spark, tmp_path):
+    (tmp_path / "m.meta.txt").write_text("chat_family=llama3\nhas_chat_template=1\ndefault_system=Be brief\nother=1\n")
+    meta = chat.load_meta(spark, f"{tmp_path}/m.bin")
+    assert (meta.chat_family, meta.has_chat_template, meta.default_system) == ("llama3", True, "Be brief")
+    assert chat.load_meta(spark, f"{tmp_path}/none.bin").chat_family == "raw"
+    assert chat.generation_settings(chat.ChatOptions(max_new_tokens=9, stop=("X",)), meta) == {"chat_family": "llama3", "max_new_tokens": 9, "temperature": 0.0, "stop": ["X", "<|eot_id|>"]}
+    with pytest.raises(ValueError):
+        chat.generation_settings(chat.ChatOptions(chat_family="hf_jinja"), meta)
+
+
+def test_grounding_suite_counts_failures(spark, chunks):
+    assert suite.validator_negatives(spark) == []
+    own = Retriever.build(spark, chunks, HashingEmbedder(64), mode="sparse")
+    labeled = spark.createDataFrame([(1, "heron nests in reeds", 0), (2, "zebra zebra", 1)], "qid bigint, query string, gold_id bigint")
+    asked = spark.createDataFrame([(1, ""), (2, "purple dragons"), (3, "copper wire conducts")], "qid bigint, query string")
+    report = suite.grounding(own, labeled, asked)
+    assert (report["failed_in_domain"], report["failed_out_of_scope"], report["failed_validator"]) == (1, 1, 0)
+
+
 def test_meta_rules():
     m = index.IndexMeta(embedder_id="hashing-v1", dim=4, n_chunks=3, n_real_chunks=2, has_no_evidence=1)
     assert index.parse_meta(index.dump_meta(m)) == m

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lanternspark.functions.similarity import lcs_ratio
-from lanternspark.operators import closest, dense, sparse
+from lanternspark.operators import closest, dense, ivf, sparse
 from lanternspark.operators.embedders import simple_tokens
 from lanternspark.service.json_api import parse_ask
 
@@ -60,6 +60,23 @@ def test_dense_search_against_brute_force(frame, monkeypatch):
     assert set(got) == set(range(10))
 
 
+def test_partitioned_search(frame):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 16)) * 2
+    vecs = [(i, v.tolist()) for i, v in enumerate(middle[rng.integers(0, 12, 600)] + rng.normal(size=(600, 16)))]
+    vecs += [(600 + i, vecs[0][1]) for i in range(300)]  # a third of the rows in one list
+    rows = frame("id bigint, vec array<double>, list int", *[(*v, 7) for v in vecs], (None, vecs[0][1], 7), (2000, None, 7), (2001, [1.0], 7)).repartition(4)
+    asked = frame("qid bigint, vec array<double>", *vecs[:40], (70, None), (71, [1.0]))
+    index = ivf.InvertedFile.build(rows, 12)
+    assert index.lists.count() == 900
+    exact = dense.search(asked.where("qid < 70"), rows.where("size(vec) = 16"), 8)
+    every = index.search(asked, 8, probes=12)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    assert ivf.recall(index.search(asked, 8, probes=4), exact).first().recall >= 0.9
+    empty = ivf.InvertedFile.build(rows.limit(0))
+    assert empty.search(asked, 8).count() == 0 and index.search(asked.limit(0), 8).count() == 0
+
+
 @pytest.mark.parametrize("segment", [30, 1 << 21])
 def test_closest_against_brute_force(frame, monkeypatch, segment):
     monkeypatch.setattr(closest, "SEGMENT", segment)
