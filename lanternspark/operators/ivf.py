@@ -91,9 +91,12 @@ class InvertedFile:
         lists = spread(rows).mapInArrow(_assign(shared), f"list int, id bigint, vec {kind}")
         return cls(cut(lists.sortWithinPartitions("list")), own)
 
-    def search(self, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = 40) -> DataFrame:
         """(qid, id, score, hit_rank): the k best by cosine of the rows in each query's ``probes`` nearest lists.
 
+        The default suits vectors without any clusters: of these 40 of 64 lists give 0.95 of the exact hits for
+        0.63 of the work, 32 give 0.9. Vectors in clusters need far fewer.
+
         Queries (qid, vec) travel in blocks of at most QUERY_BLOCK; rows stay where they lie, so a list that
         holds very many rows is searched by as many tasks as hold it. With as many probes as lists it is exact.
         """

@@ -25,16 +25,25 @@ def demo_paths(root: str) -> dict[str, str]:
     return {k: f"{root}/{v}" for k, v in DEMO.items()}
 
 
+def _is_record() -> Column:
+    return (F.col("value") != "") & ~F.startswith("value", F.lit("#"))
+
+
+def _fail(message: Column) -> Column:
+    """An error, but for lines that are no records: conditions of a plan may be evaluated before they are left out."""
+    return F.when(_is_record(), F.raise_error(message))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value): the records of a text file; ``ord`` rises in the order of its lines."""
     rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id()).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
+    return rows.withColumn("ord", F.monotonically_increasing_id()).where(_is_record())
 
 
 def number(field: Column) -> Column:
     """The integer a field begins with; an error without one."""
     found = F.regexp_extract(field, _LEADING, 1)
-    return F.when(found != "", found.try_cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("no number in: "), field)))
+    return F.when(found != "", found.try_cast("bigint")).otherwise(_fail(F.concat(F.lit("no number in: "), F.col("value"))))
 
 
 def _require(rows: DataFrame, what: str) -> DataFrame:
@@ -47,9 +56,9 @@ def load_chunks(spark: SparkSession, path: str, check: bool = True) -> DataFrame
     """(id, source, text, ord), split at the first two tabs only."""
     rows = lines(spark, path)
     tabs = F.length("value") - F.length(F.replace("value", F.lit("\t"), F.lit("")))
-    good = F.when(tabs >= 2, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("fewer than two tabs: "), F.col("value"))))
+    good = F.when(tabs >= 2, F.col("value")).otherwise(_fail(F.concat(F.lit("fewer than two tabs: "), F.col("value"))))
     parts = F.split(good, "\t", 3)
-    out = rows.select(number(parts[0]).alias("id"), parts[1].alias("source"), parts[2].alias("text"), "ord")
+    out = rows.select(number(F.get(parts, F.lit(0))).alias("id"), F.get(parts, F.lit(1)).alias("source"), F.get(parts, F.lit(2)).alias("text"), "ord")
     return validate_store(out) if check else out
 
 
@@ -78,8 +87,9 @@ def save_chunks(chunks: DataFrame, path: str, order: str = "ord") -> None:
 
 def _pairs(spark: SparkSession, path: str, column: str) -> DataFrame:
     parts = F.split("value", "\t")
-    good = F.when((F.size(parts) >= 2) & (parts[0] != ""), parts[0]).otherwise(F.raise_error(F.concat(F.lit("no query and id in: "), F.col("value"))))
-    return lines(spark, path).select(good.alias("query"), number(parts[1]).alias(column), "ord")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    good = F.when((F.size(parts) >= 2) & (first != ""), first).otherwise(_fail(F.concat(F.lit("no query and id in: "), F.col("value"))))
+    return lines(spark, path).select(good.alias("query"), number(second).alias(column), "ord")
 
 
 def load_train_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -252,6 +252,8 @@ def test_tsv(spark, tmp_path):
     q = tmp_path / "pairs.tsv"
     q.write_text("Who is it\t4\n# c\nWHO  is it\t5\n")
     assert [r.pos_id for r in tsv.load_train_pairs(spark, str(q)).orderBy("ord").collect()] == [4, 5]
+    # a condition on a column may be evaluated on comment lines as well
+    assert tsv.load_train_pairs(spark, str(q)).where("pos_id > 4 and length(query) > 1").count() == 1
     assert tsv.train_query_set(tsv.load_train_pairs(spark, str(q))).count() == 1 and tsv.load_refuse(spark, str(q)).count() == 2
     q.write_text("a\t-1\n")
     with pytest.raises(Exception):  # noqa: B017
