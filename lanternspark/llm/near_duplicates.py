@@ -161,7 +161,9 @@ class NearDuplicates:
         # read twice, for members and for classes; a lost executor's part is computed again
         prints = rows.mapInArrow(_shingle(shingle), "id bigint, class_key binary, shingles array<bigint>").persist(StorageLevel.DISK_ONLY)
         self.members = prints.select("id", "class_key").distinct()
-        self.classes = cut(prints.groupBy("class_key").agg(F.min("id").alias("rep"), F.first("shingles").alias("shingles")))
+        classes = prints.groupBy("class_key").agg(F.min("id").alias("rep"), F.first("shingles").alias("shingles"))
+        #: A class is named by its number while it travels through the buckets; numbers are unique, hashes needn't be.
+        self.classes = cut(classes.withColumn("number", F.monotonically_increasing_id()))
         self.threshold, self.seed = threshold, seed
         self._links: DataFrame | None = None
 
@@ -173,13 +175,12 @@ class NearDuplicates:
         """(class_a, class_b, n_common, n_either): each pair of different classes that is alike enough, once."""
         if self._links is not None:
             return self._links
-        #: A class is named by a 64-bit number while it travels through the buckets.
-        named = self.classes.withColumn("rep", F.xxhash64("class_key"))
+        named = self.classes.select(F.col("number").alias("rep"), "class_key", "shingles")
         bands = named.select("rep", "shingles").mapInArrow(_bands(self.seed), "bucket bigint, rep bigint")
-        mixed = F.xxhash64("rep", F.lit(1))
+        mixed, other = F.xxhash64("rep", F.lit(1)), F.xxhash64("rep", F.lit(2))
         buckets = cut(
             bands.groupBy("bucket")
-            .agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor("rep").alias("x1"), F.bit_xor(mixed).alias("x2"))
+            .agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(mixed).alias("x1"), F.bit_xor(other).alias("x2"))
             .where("m > 1")
             .groupBy("m", "lo", "hi", "x1", "x2")
             .agg(F.min("bucket").alias("bucket"))
