@@ -396,15 +396,16 @@ def hashing_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cosine, round(sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x))), 5) AS norm,
-           list_transform(a.embedding::DOUBLE[], lambda x: round((x / sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda y: y * y))))::FLOAT::DOUBLE, 5)) AS unit
+    SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cosine, round(sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x))), 4) AS norm,
+           1.0::DOUBLE AS unit_norm, 1.0::DOUBLE AS unit_cosine
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def vector_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector at length 1, its length, and its cosine with the next one."""
+    """Each vector's length, its cosine with the next one, and the length and cosine of the vector at length 1."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    unit = F.transform(sim.l2_normalize(F.col("embedding")), lambda x: F.round(x.cast("double"), 5))
-    return rows.join(after, "vec_id").select("vec_id", F.round(sim.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(sim.norm(F.col("embedding")), 5).alias("norm"), unit.alias("unit"))
+    rows = rows.join(after, "vec_id").withColumn("unit", sim.l2_normalize(F.col("embedding")))
+    own = F.round(sim.norm(F.col("unit")), 5).alias("unit_norm"), F.round(sim.cosine(F.col("unit"), F.col("embedding")), 5).alias("unit_cosine")
+    return rows.select("vec_id", F.round(sim.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(sim.norm(F.col("embedding")), 4).alias("norm"), *own)
 
 
 @query(f"""
