@@ -82,6 +82,7 @@ RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
 WINDOW = re.compile(r"[\x00-\x7f]{0,8}(?:[^\x00-\x7f]+[\x00-\x7f]{0,8})+")
 #: Both are slow where they don't match, at every character before it; `runs`, `windows` and `Beyond` find the same.
 BEYOND = re.compile("[\x80-\U0010ffff][\x80-\U0010ffff]*")
+GAP = re.compile(r"([\x00-\x7f]{9,})")
 #: Passages that are counted: up to eight words in a row of what is compressed, or up to four, two or one.
 LONGEST, *SHORTER = (r"(?:[ \t\r\n]*[^ \t\r\n]+){1,%d}[ \t\r\n]*" % n for n in (8, 4, 2, 1))
 PASSAGE = re.compile(LONGEST)
@@ -157,19 +158,14 @@ def runs(text: str) -> Iterator[str]:
 
 def windows(text: str) -> list[str]:
     """What WINDOW finds."""
+    pieces = GAP.split(text)
     out: list[str] = []
-    begin = end = last = -1
-    for match in BEYOND.finditer(text):
-        start, stop = match.span()
-        if last < 0:
-            begin = max(0, start - 8)
-        elif start - last > 8:
-            end = last + 8
-            out.append(text[begin:end])
-            begin = max(end, start - 8)
-        last = stop
-    if last >= 0:
-        out.append(text[begin : last + 8])
+    before, used = "", 0  # the signs before a piece, and how many of them are in the last window
+    for piece, after in zip(pieces[::2], [*pieces[1::2], ""], strict=True):
+        if not piece.isascii():
+            out.append(before[max(used, len(before) - 8) :] + piece + after[:8])
+            used = 8
+        before = after
     return out
 
 
@@ -329,7 +325,7 @@ class Vote:
         if not len(owners):
             return out
         starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        total = np.add.reduceat(gains[places_], starts, axis=0, dtype=np.float64)
+        total = np.add.reduceat(gains[places_].astype(np.float64), starts, axis=0)
         out[owners[starts]] = (total > 1e-6).any(axis=1)
         return out
 
@@ -372,7 +368,8 @@ def learnt(vote: Vote, rows: list[tuple[str, str]]) -> tuple[dict[str, Counter],
         seen[lang].update(high("".join(found)) | found)
     whole: dict[str, list[str]] = defaultdict(list)
     for window, k in zip(*beyond.windows(), strict=True):
-        whole[sound[parts[k][0]][0]] += (window,) if len(window) <= 16 else PASSAGE.findall(window)
+        # most have eight words at most and are a passage as they are
+        whole[sound[parts[k][0]][0]] += (window,) if len(window) <= 16 or sum(map(window.count, " \t\r\n")) < 8 else PASSAGE.findall(window)
     for lang, found_ in whole.items():
         passages[lang].update(found_)
     return seen, passages
@@ -465,12 +462,15 @@ class Parts:
         return bool(self.found) and CITED.sub("", self.segment).isascii()
 
     @cached_property
-    def outside(self) -> list[tuple[str, list[str], list[int]]]:
-        """Before, between and behind the citations: the text, its words and spaces, and which are words beyond ASCII."""
+    def outside(self) -> list[tuple[str, list[str], list[int], list[str]]]:
+        """Before, between and behind the citations: the text, its words and spaces, and the words beyond ASCII with their places."""
         ends = [0, *(m.end() for m in self.found)]
-        texts = [self.segment[a:b] for a, b in zip(ends, [*(m.start() for m in self.found), len(self.segment)], strict=True)]
-        split = [SPACE.split(x) for x in texts]
-        return [(x, pieces, [n for n, y in enumerate(pieces) if not y.isascii()]) for x, pieces in zip(texts, split, strict=True)]
+        out = []
+        for a, b in zip(ends, [*(m.start() for m in self.found), len(self.segment)], strict=True):
+            pieces = SPACE.split(self.segment[a:b])
+            at = [n for n, x in enumerate(pieces) if not x.isascii()]
+            out.append((self.segment[a:b], pieces, at, [pieces[n] for n in at]))
+        return out
 
     @cached_property
     def strange(self) -> list[tuple[str, frozenset]]:
@@ -514,7 +514,7 @@ class Model:
         self.compress = [c.compress for c in compressors]
         #: Lengths and words taken back that are known already.
         self.lengths: dict[bytes, int] = {}
-        self.words: dict[tuple[int, str], str] = {}
+        self.words: list[dict[str, str]] = [{} for _ in CHAINS]
         #: What a replacement character may stand for.
         self.signs = sorted(self.common - {LOST}) or ["é"]
         #: Of single-byte chains: the characters that become common ones.
@@ -562,10 +562,13 @@ class Model:
         parts = Parts(segment)
         before = -1
         whole = False  # a segment that is UTF-8 in full wasn't of single bytes
-        for k, chain in enumerate(CHAINS):
+        while open_:
+            k = (open_ & -open_).bit_length() - 1
+            open_ &= open_ - 1
+            chain = CHAINS[k]
             if whole and chain.kind == "single":
                 break
-            if not open_ >> k & 1 or (chain.kind == "utf-8" and not chain.pair(segment)):
+            if chain.kind == "utf-8" and not chain.pair(segment):
                 continue
             found = None
             if every >> k & 1 and not parts.bare:
@@ -591,23 +594,21 @@ class Model:
     def by_words(self, parts: Parts, k: int) -> str:
         """The segment with the words taken back that can have gone through a chain. Damage that is
         merely cited stays, unless other words are damaged or the citation was damaged itself."""
-        chain, good = CHAINS[k], self.to_common[k]
+        chain, good, known = CHAINS[k], self.to_common[k], self.words[k]
 
         def word(own: str) -> str:
-            key = k, own
-            if key not in self.words:
-                if len(self.words) >= KEPT >> 3:
-                    self.words.clear()
-                signs = high(own)
-                stays = not signs <= good or (chain.kind == "single" and signs <= self.common)
-                self.words[key] = own if stays else chain.back(own) or own
-            return self.words[key]
+            if len(known) >= KEPT >> 6:
+                known.clear()
+            signs = high(own)
+            stays = not signs <= good or (chain.kind == "single" and signs <= self.common)
+            known[own] = own if stays else chain.back(own) or own
+            return known[own]
 
         damaged = False
         fixed = []
-        for text, pieces, at in parts.outside:
-            new = [word(pieces[n]) for n in at]
-            if any(x != pieces[n] for x, n in zip(new, at, strict=True)):
+        for text, pieces, at, words in parts.outside:
+            new = [known.get(x) or word(x) for x in words]
+            if new != words:
                 pieces = pieces.copy()
                 for x, n in zip(new, at, strict=True):
                     pieces[n] = x
